@@ -10,7 +10,7 @@ from vellumetry.sources.tables import body_results
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_sentences(body_results(spark, sf_dir, "text", confirmed=True)).distinct()
+    return split_sentences(body_results(spark, sf_dir, "text", confirmed=True))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
