@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumetry.llm.canonical import same_look_pairs
+from vellumetry.llm.repeated_lines import repeated_lines
 from vellumetry.llm.sentences import split_sentences
-from vellumetry.sources.tables import body_results
+from vellumetry.sources.tables import body_results, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(body_results(spark, sf_dir, "text", confirmed=True))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = body_results(spark, sf_dir, "text", "site_id", "volume_id")
+    return repeated_lines(texts, table(spark, sf_dir, "scan_volumes"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(body_results(spark, sf_dir, "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
