@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellumetry.llm.bpe import encode
 from vellumetry.llm.canonical import same_look_pairs
 from vellumetry.llm.repeated_lines import repeated_lines
 from vellumetry.llm.sentences import split_sentences
@@ -23,5 +24,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(body_results(spark, sf_dir, "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids}
 SQL: dict[str, str] = {}
