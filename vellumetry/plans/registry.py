@@ -2,5 +2,18 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from vellumetry.operators.nested import children_with_parents, nodes
+from vellumetry.session import stored
+from vellumetry.sources.tables import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = stored(nodes(table(spark, sf_dir, "project_files")).select("record", "label", "path", "key"), "p3-labels")
+    found = children_with_parents(labelled)
+    return found.withColumn("record_id", found.record_id.cast("bigint"))
+
+
+QUERIES = {"p3_found": p3_found}
 SQL: dict[str, str] = {}
