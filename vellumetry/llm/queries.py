@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vellumetry.llm.bpe import encode
 from vellumetry.llm.canonical import same_look_pairs
+from vellumetry.llm.leaks import leaks
 from vellumetry.llm.repeated_lines import repeated_lines
 from vellumetry.llm.sentences import split_sentences
 from vellumetry.sources.tables import body_results, table
@@ -28,5 +29,9 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
