@@ -29,7 +29,7 @@ MIN_WORDS, SEED, MIN_TILE = 12, 5, 5
 MEMO = 500_000
 
 UNSPACED = "぀-ヿ㐀-鿿々ｦ-ﾟ฀-๿຀-໿က-႟ក-៿"
-_DIVIDED = re.compile("(?<=\\w)[-\u2010\u2011\u00ad\u00ac\ufe63\uff0d]\\s*\n\\s*(?=\\w)")
+_DIVIDED = re.compile("(?<=\\w)[-=\u2010\u2011\u00ad\u00ac\ufe63\uff0d]\\s*\n\\s*(?=\\w)")
 _INNER = re.compile(r"(?<=[^\W\d_])['’ʼ`´\-·](?=[^\W\d_])|(?<=\d)[.,](?=\d)")
 _WORD = re.compile(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])[^\W_]|[̀-ͯऀ-ःऺ-़ा-ॏ॑-ॗॢॣঁ-ঃ়া-্ৗ])+")
 _memo: dict[str, int] = {}
