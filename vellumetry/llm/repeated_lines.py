@@ -13,11 +13,8 @@ that holds a third of the rows is spread over all tasks.
 
 from __future__ import annotations
 
-import re
-import sys
 import unicodedata as ud
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,28 +29,22 @@ MIN_LETTERS = 12
 MIN_VOLUMES, MIN_SHARE = 4, 0.2
 
 
-@cache
-def _noise() -> re.Pattern:
-    """Everything but letters and the marks that belong to them."""
-    out, start = [], None
-    for o in range(sys.maxunicode + 2):
-        bad = o <= sys.maxunicode and ud.category(chr(o))[0] not in "LM"
-        if bad and start is None:
-            start = o
-        elif not bad and start is not None:
-            out.append(f"\\U{start:08x}-\\U{o - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(out)}]+")
+class _Letters(dict):
+    """For str.translate: letters and their marks in lower case, line ends as they are, all else deleted; filled as characters are met."""
 
+    def __missing__(self, o: int) -> int | str | None:
+        c = chr(o)
+        self[o] = out = o if c == "\n" else c.casefold() if ud.category(c)[0] in "LM" else None
+        return out
 
-def line_key(line: str, min_letters: int = MIN_LETTERS) -> str | None:
-    """What lines must have in common to be the same; None for a line of too few letters."""
-    if len(line) < min_letters:
-        return None
-    key = _noise().sub("", line).casefold()
-    if len(key) < min_letters or not key.isalpha() and sum(map(str.isalpha, key)) < min_letters:
-        return None
-    return key
+
+_letters = _Letters()
+
+
+def line_keys(text: str, min_letters: int = MIN_LETTERS) -> list[str | None]:
+    """What lines must have in common to be the same, for each line of a text; None for one of too few letters."""
+    keys = canonical(text.replace("\r", " ")).translate(_letters).split("\n")
+    return [k if len(k) >= min_letters and (k.isalpha() or sum(map(str.isalpha, k)) >= min_letters) else None for k in keys]
 
 
 def line_items(texts: DataFrame, id_col: str, text_col: str, source_col: str, unit_col: str, min_letters: int = MIN_LETTERS) -> DataFrame:
@@ -67,9 +58,8 @@ def line_items(texts: DataFrame, id_col: str, text_col: str, source_col: str, un
         for batch in batches:
             rows, numbers, keys = [], [], []
             for r, text in enumerate(batch.column(3).to_pylist()):
-                # the canonical form keeps line ends, save that \r\n and \r become \n: lines are cut first
-                for n, line in enumerate(text.split("\n")):
-                    if (key := line_key(canonical(line), min_letters)) is not None:
+                for n, key in enumerate(line_keys(text, min_letters)):
+                    if key is not None:
                         rows.append(r)
                         numbers.append(n)
                         keys.append(key)
