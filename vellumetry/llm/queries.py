@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellumetry.llm.bpe import encode
 from vellumetry.llm.canonical import same_look_pairs
+from vellumetry.llm.language import identify, labels_of, train
 from vellumetry.llm.leaks import leaks
-from vellumetry.llm.repeated_lines import repeated_lines
+from vellumetry.llm.repeated_lines import repeated_lines, without_lines
 from vellumetry.llm.sentences import split_sentences
 from vellumetry.sources.tables import body_results, table
 
@@ -21,6 +23,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(texts, table(spark, sf_dir, "scan_volumes"))
 
 
+def p4_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every body result with its languages: all stretches, with confidence and the label it came with."""
+    texts = body_results(spark, sf_dir, "text", "site_id", "volume_id", "ocr_language")
+    # a site's notices are in its own language, whatever the text's
+    clean = without_lines(texts, repeated_lines(texts, table(spark, sf_dir, "scan_volumes")))
+    return identify(clean, train(table(spark, sf_dir, "ocr_results")), "result_id", "text", "ocr_language")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p4_stretches(spark, sf_dir).where("lang is not null")
+    named = labels_of(F.col("ocr_language"))
+    case = (F.col("n_segs") > 1) | (F.size(named) == 0) | ~F.array_contains(named, F.col("lang"))
+    return found.where(case).select("result_id", "seg_no", "lang")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(body_results(spark, sf_dir, "text"))
 
@@ -33,5 +50,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumetry.llm.canonical import LOOKALIKE_FROM, LOOKALIKE_TO
+
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
 DEVANAGARI, BENGALI, THAI = "ऀ-ॣ०-ॿ", "ঀ-৿", "฀-๿"
 JAPANESE = "぀-ヿ㐀-鿿々〆ｦ-ﾟ"
@@ -57,7 +59,8 @@ INDIC_SHORT = "ई पं डॉ श्री स्व प्रो कु स
 THAI_INNER = "ฯลฯ พ.ศ. ค.ศ. ร.ศ. จ.ศ. น. ว่า เมื่อ และ หรือ ของ ที่ ใน จาก กับ แก่ โดย ซึ่ง อัน ดร. นาย นาง คุณ ศ. รศ. ผศ. ณ"
 THAI_AFTER = "ฯลฯ พ.ศ. ค.ศ. แล้วก็ แล้วจึง และ หรือ บาท"
 
-Rule = tuple[bool, re.Pattern, re.Pattern]
+#: Break or no break, what stands before (None: anything), what stands after.
+Rule = tuple[bool, re.Pattern | None, re.Pattern]
 
 
 def _words(text: str) -> str:
@@ -65,7 +68,7 @@ def _words(text: str) -> str:
 
 
 def _rule(is_break: bool, before: str, after: str = "") -> Rule:
-    return is_break, re.compile(f"(?:{before})\\Z"), re.compile(after)
+    return is_break, None if before == "." else re.compile(f"(?:{before})\\Z"), re.compile(after)
 
 
 @cache
@@ -131,11 +134,15 @@ SCRIPT_OF = {"eng": "latin", "fra": "latin", "deu": "latin", "lat": "latin", "sp
 
 
 @cache
-def cascade(script: str, language: str | None = None) -> tuple[Rule, ...]:
+def cascade(script: str, language: str | None = None) -> tuple[tuple[Rule, ...], tuple[Rule, ...], re.Pattern]:
+    """All rules of a cascade; those without the languages' own; and a gate: where it doesn't match, no language rule can."""
     names = CASCADES[script]
     if language and SCRIPT_OF.get(language) == script:
         names = tuple(n for n in names if n == language or n not in SCRIPT_OF)
-    return tuple(r for n in names for r in tables()[n])
+    own = [r for n in names if n in SCRIPT_OF for r in tables()[n]]
+    rest = [r for n in names if n not in SCRIPT_OF for r in tables()[n]]
+    gate = re.compile("|".join(f"(?:{b.pattern})" if b else "" for _, b, _ in own) if own else r"(?!)")
+    return (*own, *rest), tuple(rest), gate
 
 
 _PARAGRAPH = re.compile(r"(?:\r\n?|\n)[^\S\n]*(?:(?:\r\n?|\n)[^\S\n]*)+")
@@ -147,8 +154,11 @@ _SCRIPT = re.compile(rf"([{LATIN}])|([{DEVANAGARI}])|([{BENGALI}])|([{JAPANESE}]
 _SCRIPTS = ("latin", "devanagari", "bengali", "japanese", "thai")
 _CLOSES = {"”": "“", "»": "«", "」": "「", "』": "『", ")": "(", "）": "（", "]": "["}
 _LETTER = re.compile(rf"[{LATIN}]")
-#: Characters of context that a rule sees before a position.
-CONTEXT = 32
+#: Characters of context that a rule sees before a position; none needs more.
+CONTEXT = 20
+#: Forms of one character that stand for another, for the rules only; offsets stay.
+_SAME = {**{0xFF01 + i: 0x21 + i for i in range(94) if 0xFF01 + i not in map(ord, "！（），．？")}, **dict(zip(map(ord, LOOKALIKE_FROM), LOOKALIKE_TO, strict=True))}
+_OTHER_FORMS = re.compile("[" + "".join(map(chr, _SAME)) + "]")
 
 
 def _pairs(text: str, lo: int, hi: int) -> dict[int, int]:
@@ -178,12 +188,22 @@ def _pairs(text: str, lo: int, hi: int) -> dict[int, int]:
     return done
 
 
+class _ScriptOf(dict):
+    def __missing__(self, c: str) -> str | None:
+        m = _SCRIPT.match(c)
+        self[c] = out = _SCRIPTS[m.lastindex - 1] if m else None
+        return out
+
+
+_script_of = _ScriptOf()
+
+
 def _script_at(text: str, i: int, lo: int) -> str:
     """The script of the last letter before i."""
     while i > lo:
         i -= 1
-        if m := _SCRIPT.match(text, i):
-            return _SCRIPTS[m.lastindex - 1]
+        if got := _script_of[text[i]]:
+            return got
     return "latin"
 
 
@@ -206,7 +226,7 @@ def _breaks(text: str, lo: int, hi: int, language: str | None) -> Iterator[int]:
         if marked:
             while p < hi:  # closing quotes and brackets stay with the sentence
                 q = p
-                while q < hi and q - p < 2 and text[q] in "   ":
+                while q < hi and q - p < 2 and text[q] in " \u00a0\u202f\n":
                     q += 1
                 if q in closes:
                     p = q + 1
@@ -217,6 +237,8 @@ def _breaks(text: str, lo: int, hi: int, language: str | None) -> Iterator[int]:
         if p >= hi or p <= last:
             continue
         last = p
+        if marked and p + 1 < hi and text[p].isspace() and text[p + 1].islower() and _script_at(text, p, lo) == "latin":
+            continue  # what the tables say of a lower-case letter, without asking them
         while k < len(outer) and outer[k][1] < p:
             k += 1
         if k < len(outer) and outer[k][0] < p <= outer[k][1]:
@@ -229,8 +251,9 @@ def _breaks(text: str, lo: int, hi: int, language: str | None) -> Iterator[int]:
                 continue
         if script in ("devanagari", "bengali") and (p - 1) in closes and closes[p - 1] == start and text[p - 1] in "”’\"" and _REPORTED.match(text, p):
             continue  # the quotation opens the sentence, and its report follows
-        for is_break, b, a in cascade(script, language):
-            if b.search(before) and a.match(text, p, hi):
+        rules, rest, gate = cascade(script, language)
+        for is_break, b, a in rules if gate.search(before) else rest:
+            if (b is None or b.search(before)) and a.match(text, p, hi):
                 if is_break:
                     yield p
                     while p < hi and text[p].isspace():
@@ -243,6 +266,8 @@ def sentences(text: str | None, language: str | None = None) -> list[tuple[int,
     """(start, end) of each sentence in order, white space around it left out; null and blank texts have none."""
     if not text:
         return []
+    if not text.isascii() and _OTHER_FORMS.search(text):
+        text = text.translate(_SAME)
     out: list[tuple[int, int]] = []
 
     def add(a: int, b: int) -> None:
