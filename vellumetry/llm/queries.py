@@ -10,6 +10,7 @@ from vellumetry.llm.canonical import same_look_pairs
 from vellumetry.llm.language import identify, labels_of, train
 from vellumetry.llm.leaks import leaks
 from vellumetry.llm.repeated_lines import repeated_lines, without_lines
+from vellumetry.llm.repair import damage, titles
 from vellumetry.llm.sentences import split_sentences
 from vellumetry.sources.tables import body_results, table
 
@@ -38,6 +39,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(case).select("result_id", "seg_no", "lang")
 
 
+def _pages_with_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "scan_pages").select("page_id", "confirmed")
+    heads = titles(table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "ocr_regions"))
+    texts = body_results(spark, sf_dir, "text", "page_id", "volume_id", "confidence")
+    return texts.join(pages.hint("shuffle_hash"), "page_id").join(heads.hint("shuffle_hash"), "volume_id", "left")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage(_pages_with_titles(spark, sf_dir)).select("result_id", "line_no", "kind").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(body_results(spark, sf_dir, "text"))
 
@@ -50,5 +62,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
