@@ -12,6 +12,7 @@ from vellumetry.llm.leaks import leaks
 from vellumetry.llm.repeated_lines import repeated_lines, without_lines
 from vellumetry.llm.repair import damage, titles
 from vellumetry.llm.sentences import split_sentences
+from vellumetry.llm.subjects import assign_subjects
 from vellumetry.sources.tables import body_results, table
 
 
@@ -62,5 +63,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, "text", "lang", "doc_id")
+    found = assign_subjects(docs, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"), model)
+    return found.select("doc_id", "subject").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
