@@ -1,12 +1,342 @@
-"""The queries over the page tables and the SQL that must give the same rows."""
+"""The queries over the page tables and the SQL that must give the same rows.
+
+Every query runs over its whole tables. Queries without SQL are order-dependent merges and pipelines,
+which the tests hold against plain Python.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from vellumetry.functions import strings
+from vellumetry.operators import compile as compiling
+from vellumetry.operators import edits, merge, regions, split, template, text
 from vellumetry.operators.nested import children_with_parents, nodes
+from vellumetry.plans import detect
 from vellumetry.session import stored
-from vellumetry.sources.tables import table
+from vellumetry.sources.tables import clean_type, table
+
+# ---------------------------------------------------------------- inputs
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate boxes with density and sharpness, made from lineitem: an order is a page, its lines are boxes."""
+    keys = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *keys)
+    slot = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*keys)).cast("bigint")
+    cents = lambda e: e.cast("double") / 100
+    return rows.select(
+        F.col("l_orderkey").alias("page_id"),
+        slot.alias("slot"),
+        cents(F.col("l_partkey") % 80).alias("x"),
+        cents(F.col("l_suppkey") % 95).alias("y"),
+        cents(5 + F.col("l_partkey") % 45).alias("w"),
+        cents(1 + F.col("l_suppkey") % 9).alias("h"),
+        (F.col("l_quantity") / 100).alias("td"),
+        (F.col("l_extendedprice") / 100).alias("sharp"),
+    )
+
+
+_LAYOUT_SQL = """layout as (select *, case when y<0.20 and h<0.08 and w>0.20 then 'header' when y<0.20 and h<0.08 and w<=0.20 then 'pagenum'
+ when y>0.90 and h<0.06 and w<0.30 then 'pagenum' when td>0.03 then 'body' else 'unknown' end rtype from (
+ select l_orderkey page_id, cast(row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice) as bigint) slot,
+ cast(l_partkey%80 as double)/100 x, cast(l_suppkey%95 as double)/100 y, cast(5+l_partkey%45 as double)/100 w, cast(1+l_suppkey%9 as double)/100 h,
+ l_quantity/100 td, l_extendedprice/100 sharp from lineitem) k)"""
+
+
+def _typed_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.classified(_layout(spark, sf_dir))
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, once each: region_id, page_id, rtype, x, y, w, h, confidence, source, col_no, slot."""
+    rows = table(spark, sf_dir, "ocr_regions").distinct()
+    rtype = F.coalesce(F.nullif(clean_type(F.col("region_type")), F.lit("")), F.lit("unknown"))
+    boxes = (F.col(f"box_{c}").alias(c) for c in "xywh")
+    return rows.select("region_id", "page_id", rtype.alias("rtype"), *boxes, "confidence", F.col("region_source").alias("source"), "col_no", F.col("region_id").alias("slot"))
+
+
+_REGIONS_SQL = r"""reg as (select distinct region_id, page_id, coalesce(nullif(lower(regexp_replace(region_type,'^\s+|\s+$','','g')),''),'unknown') rtype,
+ box_x x, box_y y, box_w w, box_h h, confidence, region_source source, col_no from ocr_regions)"""
+
+
+def _spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "scan_spreads").distinct()
+
+
+_SPREADS_SQL = "spr as (select distinct * from scan_spreads)"
+
+
+def _latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last result of each region: by time of recognition, unknown times first, then by id."""
+    rows = table(spark, sf_dir, "ocr_results").where("region_id is not null").select("region_id", "result_id", "page_id", "volume_id", "text", "confidence", "word_count", "recognized_at")
+    return edits.latest_by(rows.withColumn("at", F.coalesce("recognized_at", F.lit("1900-01-01").cast("timestamp_ntz"))), ["region_id"], ["at", "result_id"]).drop("at")
+
+
+_LATEST_SQL = """res as (select region_id, result_id, page_id, volume_id, text, confidence, word_count, recognized_at from (select *, row_number() over (partition by region_id
+ order by coalesce(recognized_at, timestamp '1900-01-01') desc, result_id desc) rn from ocr_results where region_id is not null) z where rn=1)"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with their last result, page side, spread and volume."""
+    pages = table(spark, sf_dir, "scan_pages").select("page_id", "spread_id", "side", "confirmed")
+    spreads = _spreads(spark, sf_dir).select("spread_id", "volume_id", "pos", "right_path", "image_w", "image_h")
+    results = _latest_results(spark, sf_dir).select("region_id", "text", F.col("confidence").alias("sure"))
+    return _regions(spark, sf_dir).join(results, "region_id", "left").join(pages, "page_id").join(spreads, "spread_id")
+
+
+_PLACED_SQL = f"""{_REGIONS_SQL}, {_LATEST_SQL}, {_SPREADS_SQL}, placed as (select r.*, p.spread_id, p.side, p.confirmed, s.volume_id, s.pos, s.right_path, s.image_w, s.image_h,
+ t.text, t.confidence sure from reg r left join res t using (region_id) join scan_pages p on r.page_id=p.page_id join spr s on p.spread_id=s.spread_id)"""
+
+_STRIP = r"regexp_replace(text,'^[\s\p{Z}]+|[\s\p{Z}]+$','','g')"
+
+# ---------------------------------------------------------------- sources and splitting
+
+
+def split_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.route(_spreads(spark, sf_dir)).select("spread_id", "is_single", "spine_x", "right_path")
+
+
+def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("original_path")
+    return _spreads(spark, sf_dir).select(
+        "spread_id", strings.basename(path).alias("file_name"), strings.suffix(path).alias("suffix"), strings.media_type(path).alias("media_type"), strings.accepted(path).alias("accepted")
+    )
+
+
+def spine_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = split.profile_rows(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("b", 1.0 + 4.0 * F.col("b"))
+    return split.spines(rows).select(F.col("id").alias("vec_id"), "spine_x", "method")
+
+
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "scan_volumes").select("volume_id", strings.safe_name(F.col("volume_name")).alias("file_stem"))
+
+
+def project_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "project_files").select("file_name", "record_id", "saved_at")
+    return edits.latest_by(rows.where("file_name is not null"), ["file_name"], ["saved_at", "record_id"]).select("file_name", "record_id", "saved_at")
+
+
+# ---------------------------------------------------------------- detection
+
+
+def layout_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed_layout(spark, sf_dir).groupBy("rtype").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence_sum"))
+
+
+def geometry_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layout(spark, sf_dir).where(regions.geometry_ok()).select("page_id", "slot")
+
+
+def sharpness_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.sharp_enough(_layout(spark, sf_dir)).select("page_id", "slot")
+
+
+def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.overlapping_pairs(_layout(spark, sf_dir)).select("page_id", "s1", "s2")
+
+
+def iou_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _layout(spark, sf_dir)
+    return regions.best_overlaps(boxes, boxes).select("page_id", "s1", "s2", F.round("iou", 9).alias("iou"))
+
+
+def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.without_noise(_typed_layout(spark, sf_dir)).groupBy("rtype").agg(F.count("*").alias("n"))
+
+
+def demote_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.demoted_headers(_typed_layout(spark, sf_dir)).select("page_id", "slot", "rtype")
+
+
+def column_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns by the middle between the leftmost and rightmost body centres of each page."""
+    boxes = _typed_layout(spark, sf_dir)
+    centre = F.col("x") + F.col("w") / 2
+    gutters = boxes.where("rtype = 'body'").groupBy("page_id").agg(((F.min(centre) + F.max(centre)) / 2).alias("gutter"))
+    return regions.with_columns_assigned(boxes, gutters).select("page_id", "slot", F.col("col_no").cast("bigint").alias("col_no"))
+
+
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.reading_order(_regions(spark, sf_dir), "region_id").select("page_id", "region_id", "ord")
+
+
+def body_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.collapsed_bodies(_typed_layout(spark, sf_dir))
+
+
+def adjacent_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.islands(_typed_layout(spark, sf_dir), 0.10).withColumn("g", F.col("g").cast("bigint"))
+
+
+def overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.overlaps_merged(_typed_layout(spark, sf_dir))
+
+
+def adjacent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.adjacent_merged(_typed_layout(spark, sf_dir), "default", collapse=True)
+
+
+def detect_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps from candidate boxes to ordered regions, on pages of 1000 pixels made from the layout boxes."""
+    pixel = lambda c: F.round(F.col(c) * 1000).cast("int").alias(f"b{c}")
+    size = [F.lit(v).alias(n) for n, v in (("px", 0), ("py", 0), ("page_w", 1000), ("page_h", 1000), ("crop_w", 1000), ("crop_h", 1000))]
+    boxes = _layout(spark, sf_dir).select("page_id", "slot", *map(pixel, "xywh"), *size, "sharp", "td", F.lit(None).cast("double").alias("gutter"))
+    return detect.detect(boxes)
+
+
+# ---------------------------------------------------------------- templates
+
+
+def _confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "scan_pages").where("confirmed").select("page_id", "spread_id")
+    spreads = _spreads(spark, sf_dir).select("spread_id", "volume_id")
+    return _regions(spark, sf_dir).join(pages, "page_id").join(spreads, "spread_id")
+
+
+_CONFIRMED_SQL = f"""{_REGIONS_SQL}, {_SPREADS_SQL}, conf as (select r.*, s.volume_id from reg r join scan_pages p on r.page_id=p.page_id join spr s on p.spread_id=s.spread_id where p.confirmed),
+ sl as (select volume_id, rtype, k, count(*) n, avg(x) mean_x, avg(y) mean_y, avg(w) mean_w, avg(h) mean_h, case when count(*)<2 then 0.1 else var_samp(x) end var_x, case when count(*)<2 then 0.1 else var_samp(y) end var_y
+  from (select *, row_number() over (partition by page_id, rtype order by y, region_id) - 1 k from conf where rtype<>'unknown') a group by volume_id, rtype, k),
+ slc as (select *, case when n<3 then 0.0 else greatest(0.3, least(0.95, 0.95-4.5*(sqrt(var_x)+sqrt(var_y)))) end confidence from sl),
+ smp as (select volume_id, least(count(distinct page_id), 50) n_samples from conf group by volume_id)"""
+
+
+def _six(column: str) -> Column:
+    """Six decimals; exact halves, which means of four-place numbers often are, go up."""
+    return F.round(F.col(column) + 1e-10, 6).alias(column)
+
+
+def template_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template.slots(_confirmed(spark, sf_dir))
+    return found.select("volume_id", "rtype", "k", "n", *(_six(c) for c in ("mean_x", "mean_y", "var_x", "confidence")))
+
+
+def template_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.samples(_confirmed(spark, sf_dir)).select("volume_id", F.col("n_samples").cast("bigint").alias("n_samples"), "active", F.col("needed").cast("bigint").alias("needed"))
+
+
+def template_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _confirmed(spark, sf_dir)
+    found = template.predicted(template.slots(rows), template.samples(rows))
+    return found.select("volume_id", "rtype", "k", *(_six(c) for c in ("x", "y", "w", "h", "confidence")), "source")
+
+
+def template_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _confirmed(spark, sf_dir)
+    found = template.summary(template.slots(rows), template.samples(rows))
+    return found.select("volume_id", F.col("n_samples").cast("bigint").alias("n_samples"), F.coalesce(F.element_at("slots", "body"), F.lit(0)).cast("bigint").alias("body_slots"), F.coalesce(F.size("slots"), F.lit(0)).cast("bigint").alias("types"))
+
+
+def template_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's regions with its volume's template put in."""
+    pages = table(spark, sf_dir, "scan_pages").select("page_id", "spread_id").join(_spreads(spark, sf_dir).select("spread_id", "volume_id"), "spread_id")
+    rows = _confirmed(spark, sf_dir)
+    due = pages.join(template.predicted(template.slots(rows), template.samples(rows)), "volume_id")
+    order = Window.partitionBy("page_id").orderBy("rtype", "k")
+    expected = due.withColumn("slot", F.row_number().over(order).cast("bigint"))
+    number = Window.partitionBy("page_id").orderBy("region_id")
+    found = _regions(spark, sf_dir).withColumn("slot", F.row_number().over(number).cast("bigint"))
+    return merge.template_blended(found, expected)
+
+
+# ---------------------------------------------------------------- recognition and text
+
+
+def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.crop_boxes(_placed(spark, sf_dir)).select("region_id", *(F.col(c).cast("bigint").alias(c) for c in ("crop_x1", "crop_y1", "crop_x2", "crop_y2")), "skip", "scale")
+
+
+def recogniser_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = table(spark, sf_dir, "ocr_results").select("result_id", "region_id", "ocr_language")
+    rows = results.join(_regions(spark, sf_dir).select("region_id", "rtype"), "region_id")
+    return rows.select("result_id", text.recogniser_options(F.col("rtype"), F.coalesce(F.nullif(F.trim("ocr_language"), F.lit("")), F.lit("eng"))).alias("options"))
+
+
+def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", strings.word_count(F.col("text")).alias("n"))
+
+
+def words_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every result cut into words and put together again, with its own confidence on each word."""
+    rows = table(spark, sf_dir, "ocr_results").select(F.col("result_id").alias("region_id"), "text", "confidence").where("text is not null")
+    words = text.words_of_texts(rows).join(rows.select("region_id", F.coalesce("confidence", F.lit(0.0)).alias("conf")), "region_id")
+    return text.assembled(words, newlines=False).select(F.col("region_id").alias("result_id"), "text", F.col("word_count").cast("bigint").alias("word_count"))
+
+
+def page_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _regions(spark, sf_dir).join(_latest_results(spark, sf_dir).select("region_id", "text"), "region_id")
+    return compiling.pages(rows).withColumn("char_count", F.length("text").cast("bigint"))
+
+
+def volume_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = _placed(spark, sf_dir)
+    compiled = compiling.pages(placed, ("page_id",))
+    order = Window.partitionBy("volume_id").orderBy("spread_pos", "side", "page_id")
+    pages = table(spark, sf_dir, "scan_pages").select("page_id", "spread_id", "side").join(_spreads(spark, sf_dir).select("spread_id", "volume_id", F.col("pos").alias("spread_pos")), "spread_id")
+    numbered = pages.withColumn("pos", F.row_number().over(order) - 1).join(compiled, "page_id", "left").withColumn("label", F.lit(None).cast("string"))
+    made = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return compiling.volumes(numbered, made).select("volume_id", "text", F.col("n_pages").cast("bigint").alias("n_pages"), "char_count")
+
+
+def volume_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = _placed(spark, sf_dir).where("side = 'left' or right_path is not null")
+    return compiling.project_text(placed.withColumn("volume_pos", F.lit(0)).withColumn("spread_pos", F.col("pos")), "volume_id")
+
+
+# ---------------------------------------------------------------- edits and views
+
+
+def result_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _latest_results(spark, sf_dir).select("region_id", "result_id", "text")
+
+
+def unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spreads = _spreads(spark, sf_dir)
+    return edits.unprocessed(spreads, spreads.where("detection_run"), "spread_id").select("spread_id", "volume_id")
+
+
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.orphans(table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "ocr_regions")).select("result_id", "region_id")
+
+
+def shown_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.shown_types(_regions(spark, sf_dir), ["header", "pagenum"]).select("region_id", "rtype")
+
+
+def spread_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _spreads(spark, sf_dir).where("split_method <> 'centre' or split_method is null")
+    return edits.renumbered(kept).select("volume_id", "spread_id", F.col("pos").cast("bigint").alias("pos"))
+
+
+def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = F.when(F.col("sure") > 1, F.col("sure") / 100).otherwise(F.col("sure"))
+    results = _placed(spark, sf_dir).where("text is not null").select("spread_id", share.alias("confidence"))
+    mean = edits.mean_confidence(_spreads(spark, sf_dir), results).withColumn("confidence", F.round("confidence", 6))
+    return mean.select("spread_id", "confidence", strings.confidence_band(F.col("confidence")).alias("band"), strings.percent(F.col("confidence")).alias("percent"))
+
+
+def region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count("*")
+    return _placed(spark, sf_dir).groupBy("spread_id").agg(n.alias("n"), F.concat(n.cast("string"), F.when(n == 1, " region").otherwise(" regions")).alias("label"))
+
+
+def ocr_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("page_id").orderBy("y", "region_id")
+    rows = _placed(spark, sf_dir).where("text is not null and confidence is not null")
+    return rows.select(
+        "page_id", "region_id", (F.row_number().over(order) - 1).cast("bigint").alias("n"), F.initcap("rtype").alias("label"), "side", strings.percent(F.col("confidence")).alias("percent"),
+        F.when(F.col("confidence") > 0.75, "high").otherwise("low").alias("band"),
+    )
+
+
+def compiled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir).where(compiling.has_text(F.col("text"))).select("region_id", strings.escaped(F.col("text")).alias("html"))
+
+
+def centre_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spreads(spark, sf_dir).select("spread_id", F.coalesce(F.col("split_method") == "centre", F.lit(False)).alias("warn"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +345,66 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("record_id", found.record_id.cast("bigint"))
 
 
-QUERIES = {"p3_found": p3_found}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        page_compile, split_route, media_types, spine_detect, safe_names, project_latest, layout_classify, geometry_filter, sharpness_filter, iou_pairs, iou_best, noise_filter,
+        demote_headers, column_assign, reading_order, body_union, adjacent_islands, overlap_merge, adjacent_merge, detect_layout, template_slots, template_samples, template_predict,
+        template_summary, template_blend, crop_boxes, recogniser_options, word_count, words_rebuilt, volume_compile, volume_export, result_latest, unprocessed, orphans, shown_regions,
+        spread_renumber, confidence_bands, region_counts, ocr_panel, compiled_panel, centre_warning, p3_found,
+    )
+}
+
+_IOU = "greatest(0.0,least(a.x+a.w,b.x+b.w)-greatest(a.x,b.x))*greatest(0.0,least(a.y+a.h,b.y+b.h)-greatest(a.y,b.y))"
+_FORMAT = f"""case rtype when 'header' then {_STRIP}||chr(10) when 'pagenum' then chr(10)||repeat(' ',50)||{_STRIP} when 'footnote' then chr(10)||'  '||{_STRIP}
+ when 'engraving' then chr(10)||'[ENGRAVING — '||case when {_STRIP}='[ENGRAVING]' then 'illustration' else {_STRIP} end||']'||chr(10) else {_STRIP} end"""
+_RANK = "case rtype when 'header' then 0 when 'body' then 1 when 'unknown' then 2 when 'engraving' then 3 when 'footnote' then 4 when 'pagenum' then 5 else 99 end"
+_COMPILED = f"select page_id, string_agg({_FORMAT}, chr(10) order by {_RANK}, coalesce(y,0.0), region_id) text from TABLE_ where text is not null and {_STRIP}<>'' group by page_id"
+
+SQL: dict[str, str] = {
+    "split_route": f"with {_SPREADS_SQL} select spread_id, case when image_h>0 then image_w/image_h<1.1 end is_single, case when image_h>0 and image_w/image_h<1.1 then image_w else spine_x end spine_x, case when image_h>0 and image_w/image_h<1.1 then null else right_path end right_path from spr",
+    "media_types": rf"with {_SPREADS_SQL}, s as (select spread_id, regexp_extract(original_path,'([^/\\]*)$',1) file_name, lower(regexp_extract(original_path,'\.([A-Za-z0-9]+)$',1)) suffix from spr) select *, case when file_name is null then null when suffix='png' then 'image/png' when suffix in ('tif','tiff') then 'image/tiff' else 'image/jpeg' end media_type, coalesce(suffix in ('jpg','jpeg','png','tif','tiff'),false) accepted from s",
+    "spine_detect": """with px as (select vec_id, pos as x, 1.0 + 4.0*cast(v as double) as b from (select vec_id, cast(unnest(range(64)) as int) as pos, unnest(embedding) v from embeddings)),
+ sm as (select vec_id,x, sum(b) over (partition by vec_id order by x rows between 10 preceding and 9 following)/20 s from px),
+ g as (select vec_id, avg(s) gm, min(case when x>=22 and x<41 then s end) bm from sm group by 1),
+ a as (select vec_id,x from (select vec_id,x,row_number() over (partition by vec_id order by round(s,9),x) rn from sm where x>=22 and x<41) z where rn=1)
+ select g.vec_id, cast(greatest(9,least(54,case when (gm-bm)/(gm+1e-6)>=0.08 then a.x else 32 end)) as bigint) spine_x, case when (gm-bm)/(gm+1e-6)>=0.08 then 'detected' else 'centre' end method from g join a on g.vec_id=a.vec_id""",
+    "safe_names": r"select volume_id, regexp_replace(regexp_replace(volume_name,'\s+','_','g'),'[^a-zA-Z0-9_-]','','g') file_stem from scan_volumes",
+    "project_latest": "select file_name, record_id, saved_at from (select *, row_number() over (partition by file_name order by saved_at desc nulls last, record_id desc) rn from project_files where file_name is not null) z where rn=1",
+    "layout_classify": f"with {_LAYOUT_SQL} select rtype, count(*) n, round(sum(case when y<0.20 and h<0.08 and w>0.20 then 0.88 when y<0.20 and h<0.08 then 0.82 when y>0.90 and h<0.06 and w<0.30 then 0.85 when td>0.03 then 0.80 when w*h<0.002 then 0.10 else 0.40 end::double),4) confidence_sum from layout group by rtype",
+    "geometry_filter": f"with {_LAYOUT_SQL} select page_id, slot from layout where w*h>=0.0005 and w*h<=0.85 and h>=0.010 and not (x<0.12 and w<0.13) and not (x+w>cast(1-0.12 as double) and w<0.13) and not (h>0.60 and w/(h+1e-6)<0.25) and not (x+w/2>0.42 and x+w/2<0.58 and w<0.12)",
+    "sharpness_filter": f"with {_LAYOUT_SQL} select l.page_id,l.slot from layout l join (select page_id,count(*) n,median(sharp) m from layout group by page_id) g on l.page_id=g.page_id where l.sharp >= case when n>=3 then greatest(30.0,0.15*m) else 30.0 end",
+    "iou_pairs": f"with {_LAYOUT_SQL} select a.page_id,a.slot s1,b.slot s2 from layout a join layout b on a.page_id=b.page_id and a.slot<b.slot where {_IOU}/(a.w*a.h+b.w*b.h-{_IOU}) > 0.3",
+    "iou_best": f"with {_LAYOUT_SQL} select page_id,s1,s2,round(iou,9) iou from (select *, row_number() over (partition by page_id,s1 order by round(iou,9) desc, s2) rn from (select a.page_id,a.slot s1,b.slot s2, {_IOU}/(a.w*a.h+b.w*b.h-{_IOU}) iou from layout a join layout b on a.page_id=b.page_id and a.slot<>b.slot where {_IOU}>0) p) r where rn=1",
+    "noise_filter": f"with {_LAYOUT_SQL} select rtype, count(*) n from layout where not (rtype='unknown' and w*h<0.002) group by rtype",
+    "demote_headers": f"with {_LAYOUT_SQL} select page_id,slot,case when rtype='header' and y>=min(case when rtype='body' then y end) over (partition by page_id) then 'body' else rtype end rtype from layout",
+    "column_assign": f"with {_LAYOUT_SQL}, g as (select page_id, (min(x+w/2)+max(x+w/2))/2 gutter from layout where rtype='body' group by page_id) select l.page_id, slot, cast(case when rtype<>'body' or gutter is null then 0 when x+w/2<gutter then 1 else 2 end as bigint) col_no from layout l left join g on l.page_id=g.page_id",
+    "reading_order": f"with {_REGIONS_SQL}, t as (select *, max(case when rtype='body' and col_no=1 then 1 end) over (partition by page_id)=1 and max(case when rtype='body' and col_no=2 then 1 end) over (partition by page_id)=1 two from reg) select page_id, region_id, cast(row_number() over (partition by page_id order by case rtype when 'header' then 0 when 'body' then 1 when 'pagenum' then 3 else 2 end, case when rtype='body' and coalesce(two,false) then coalesce(col_no,0) else 0 end, y, region_id)-1 as bigint) ord from t",
+    "body_union": f"with {_LAYOUT_SQL} select page_id,min(x) x1,min(y) y1,max(x+w) x2,max(y+h) y2 from layout where rtype='body' group by page_id",
+    "adjacent_islands": f"with {_LAYOUT_SQL} select page_id,rtype,cast(g as bigint) g,min(y) y1,max(y+h) y2,count(*) n from (select *,sum(case when y-pm<=0.10 then 0 else 1 end) over (partition by page_id,rtype order by y,slot rows between unbounded preceding and current row) g from (select *,max(y+h) over (partition by page_id,rtype order by y,slot rows between unbounded preceding and 1 preceding) pm from layout) a) b group by page_id,rtype,g",
+    "template_slots": f"with {_CONFIRMED_SQL} select volume_id, rtype, k, n, round(mean_x+1e-10,6) mean_x, round(mean_y+1e-10,6) mean_y, round(var_x+1e-10,6) var_x, round(confidence+1e-10,6) confidence from slc",
+    "template_samples": f"with {_CONFIRMED_SQL} select volume_id, n_samples, n_samples>=3 active, greatest(0, 3-n_samples) needed from smp",
+    "template_predict": f"with {_CONFIRMED_SQL} select c.volume_id, rtype, k, round(mean_x+1e-10,6) x, round(mean_y+1e-10,6) y, round(mean_w+1e-10,6) w, round(mean_h+1e-10,6) h, round(confidence+1e-10,6) confidence, 'template' source from slc c join smp s on c.volume_id=s.volume_id where n>=3 and n_samples>=3",
+    "template_summary": f"with {_CONFIRMED_SQL} select s.volume_id, n_samples, coalesce(sum(case when rtype='body' then 1 else 0 end),0)::bigint body_slots, count(distinct rtype) types from smp s left join slc c on s.volume_id=c.volume_id group by s.volume_id, n_samples",
+    "crop_boxes": f"""with {_PLACED_SQL}, p as (select *, trunc(x*image_w)::bigint rx, trunc(y*image_h)::bigint ry, trunc(w*image_w)::bigint rw, trunc(h*image_h)::bigint rh, case when rtype in ('header','pagenum') then 8 else 4 end sd, case when rtype in ('header','pagenum') then 2 else 4 end bl from placed)
+ select region_id, greatest(0,rx-sd) crop_x1, greatest(0,ry-sd) crop_y1, least(image_w,rx+rw+sd) crop_x2, least(image_h,ry+rh+bl) crop_y2, rw<20 or rh<10 skip,
+ case when rtype in ('header','pagenum') then 3.0::double when least(image_h,ry+rh+bl)-greatest(0,ry-sd)<200 then 2.0::double else 1.5::double end scale from p""",
+    "recogniser_options": f"with {_REGIONS_SQL} select result_id, (case when rtype='unknown' then '--oem 1 --psm 3 -l ' else '--oem 1 --psm 6 -l ' end)||lang||(case when rtype='pagenum' and lang in ('eng','fra','deu','spa','ita','por','lat') then ' -c tessedit_char_whitelist=0123456789IVXivxLCDlcd.,- ' else '' end) options from (select result_id, region_id, coalesce(nullif(trim(ocr_language),''),'eng') lang from ocr_results) o join reg using (region_id)",
+    "word_count": r"select doc_id, coalesce(len(list_filter(regexp_split_to_array(text,'\s+'), lambda x: x<>'')),0)::bigint n from documents",
+    "words_rebuilt": r"select result_id, array_to_string(w,' ') text, len(w)::bigint word_count from (select result_id, list_filter(regexp_split_to_array(text,'[ \t\r\n]+'), lambda x: x<>'') w from ocr_results where text is not null) z where len(w)>0",
+    "page_compile": f"with {_REGIONS_SQL}, {_LATEST_SQL}, j as (select r.*, t.text from reg r join res t using (region_id)) select page_id, text, length(text) char_count from ({_COMPILED.replace('TABLE_', 'j')}) z",
+    "volume_compile": f"""with {_PLACED_SQL}, c as ({_COMPILED.replace('TABLE_', 'placed')}), pg as (select p.page_id, s.volume_id, row_number() over (partition by s.volume_id order by s.pos, p.side, p.page_id) pos from scan_pages p join spr s on p.spread_id=s.spread_id),
+ v as (select volume_id, string_agg('[Page '||pos||']'||chr(10)||chr(10)||coalesce(text,'')||chr(10)||chr(10)||repeat('─',60)||chr(10), chr(10) order by pos) body, count(*) n_pages from pg left join c on pg.page_id=c.page_id group by volume_id)
+ select volume_id, 'Compiled Output'||chr(10)||'Generated: 2024-01-01 00:00'||chr(10)||'Pages: '||n_pages||chr(10)||repeat('═',60)||chr(10)||chr(10)||body text, n_pages, length('Compiled Output'||chr(10)||'Generated: 2024-01-01 00:00'||chr(10)||'Pages: '||n_pages||chr(10)||repeat('═',60)||chr(10)||chr(10)||body) char_count from v""",
+    "volume_export": f"with {_PLACED_SQL} select volume_id, string_agg({_STRIP}, chr(10)||chr(10) order by pos, side, case rtype when 'header' then 0 when 'body' then 1 else 2 end, coalesce(y,0.0), region_id) text from placed where rtype in ('header','body','footnote') and text is not null and {_STRIP}<>'' and (side='left' or right_path is not null) group by volume_id",
+    "result_latest": f"with {_LATEST_SQL} select region_id, result_id, text from res",
+    "unprocessed": f"with {_SPREADS_SQL} select spread_id, volume_id from spr s where not exists (select 1 from spr d where d.detection_run and d.spread_id=s.spread_id)",
+    "orphans": "select result_id, region_id from ocr_results r where not exists (select 1 from ocr_regions g where g.region_id=r.region_id)",
+    "shown_regions": f"with {_REGIONS_SQL} select region_id, rtype from reg where rtype not in ('header','pagenum')",
+    "spread_renumber": f"with {_SPREADS_SQL} select volume_id, spread_id, cast(row_number() over (partition by volume_id order by pos, spread_id)-1 as bigint) pos from spr where split_method<>'centre' or split_method is null",
+    "confidence_bands": f"with {_PLACED_SQL}, m as (select spread_id, avg(coalesce(case when sure>1 then sure/100 else sure end,0)) m from placed where text is not null group by 1), c as (select s.spread_id, round(coalesce(m,0),6) confidence from (select distinct spread_id from spr) s left join m on s.spread_id=m.spread_id) select spread_id, confidence, case when confidence>0.8 then 'high' when confidence>0.6 then 'mid' else 'low' end band, cast(floor(confidence*100+0.5) as bigint) percent from c",
+    "region_counts": f"with {_PLACED_SQL} select spread_id, count(*) n, count(*)||case when count(*)=1 then ' region' else ' regions' end label from placed group by spread_id",
+    "ocr_panel": f"with {_PLACED_SQL} select page_id, region_id, cast(row_number() over (partition by page_id order by y, region_id)-1 as bigint) n, upper(rtype[1])||rtype[2:] label, side, cast(floor(confidence*100+0.5) as bigint) percent, case when confidence>0.75 then 'high' else 'low' end band from placed where text is not null and confidence is not null",
+    "compiled_panel": f"with {_PLACED_SQL} select region_id, replace(replace(replace(text,'&','&amp;'),'<','&lt;'),'>','&gt;') html from placed where text is not null and {_STRIP}<>''",
+    "centre_warning": f"with {_SPREADS_SQL} select spread_id, coalesce(split_method='centre',false) warn from spr",
+}
