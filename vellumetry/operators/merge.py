@@ -1,8 +1,10 @@
-"""Merges whose result depends on the order boxes are taken in. Each works on one page's boxes, which are few, in an Arrow group."""
+"""Merges whose result depends on the order boxes are taken in. Each works on one page's boxes, which are few, many pages in an Arrow batch."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,22 +88,46 @@ def blend_template(boxes: list[dict], expected: list[dict], p: Layout = LAYOUT)
             b |= {"confidence": min(0.98, b["confidence"] + 0.15), "source": "detected+template"}
         else:
             sure = e["confidence"]
-            out.append({**e, "source": "template", "confidence": (0.70 if sure is None or pd.isna(sure) else sure) * 0.85})
+            out.append({**e, "source": "template", "confidence": (0.70 if sure is None else sure) * 0.85})
     return out
 
 
-def _grouped(regions: DataFrame, run) -> DataFrame:
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(run(pdf.to_dict("records")), columns=_NAMES)
+def _boxes_of(page_id: int, rows: list[dict] | None) -> list[dict]:
+    return [{"page_id": page_id, **r} for r in rows or ()]
+
+
+def _pages(regions: DataFrame, name: str) -> DataFrame:
+    """One row for each page with its boxes as an array; a page's boxes are few."""
+    return regions.groupBy("page_id").agg(F.collect_list(F.struct(*_NAMES[1:])).alias(name))
+
+
+def _flat(pages: DataFrame, run: Callable[..., list[dict]]) -> DataFrame:
+    """run over the arrays of each page, many pages in an Arrow batch: no frame is built for a page."""
+    lists = pages.columns[1:]
+    schema = pa.schema([("page_id", pa.int64()), ("slot", pa.int64()), ("rtype", pa.string()), ("confidence", pa.float64()), ("source", pa.string()), ("col_no", pa.int32()), *((c, pa.float64()) for c in "xywh")])
+
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            ids = batch.column(0).to_pylist()
+            for page_id, *boxes in zip(ids, *(batch.column(i + 1).to_pylist() for i in range(len(lists))), strict=True):
+                out += run(*(_boxes_of(page_id, b) for b in boxes))
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return pages.mapInArrow(batched, REGION)
+
 
-    return regions.select(*_NAMES).groupBy("page_id").applyInPandas(page, REGION)
+def _grouped(regions: DataFrame, run: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    return _flat(_pages(regions, "boxes"), run)
 
 
-def _typed(regions: DataFrame) -> DataFrame:
+def _typed(regions: DataFrame, unsure: float | None = 0.0) -> DataFrame:
+    """The columns the merges need. Boxes without a place are left out; a null confidence counts as unsure, a null column as 0."""
     for name, default in (("source", F.lit("detected")), ("col_no", F.lit(0))):
         if name not in regions.columns:
             regions = regions.withColumn(name, default)
-    return regions.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in REGION.split(", "))).fillna({"col_no": 0})
+    typed = regions.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in REGION.split(", "))).where("x is not null and y is not null and w is not null and h is not null")
+    return typed.fillna({"col_no": 0} if unsure is None else {"col_no": 0, "confidence": unsure})
 
 
 def overlaps_merged(regions: DataFrame, p: Layout = LAYOUT) -> DataFrame:
@@ -132,11 +158,11 @@ def adjacent_merged(regions: DataFrame, mode: str = "default", collapse: bool =
 
 
 def template_blended(regions: DataFrame, expected: DataFrame, p: Layout = LAYOUT) -> DataFrame:
-    """expected: (page_id, slot, rtype, confidence, x, y, w, h); pages on either side alone are kept."""
+    """expected: (page_id, slot, rtype, confidence, x, y, w, h); pages on either side alone are kept. Added boxes' slots follow the page's own."""
 
-    def page(key: tuple, found: pd.DataFrame, due: pd.DataFrame) -> pd.DataFrame:
-        base = int(found["slot"].max()) + 1 if len(found) else 0
-        due = due.assign(slot=due["slot"] + base)
-        return pd.DataFrame(blend_template(found.to_dict("records"), due.to_dict("records"), p), columns=_NAMES)
+    def page(found: list[dict], due: list[dict]) -> list[dict]:
+        base = max((b["slot"] for b in found), default=0)
+        return blend_template(found, [{**e, "slot": e["slot"] + base} for e in due], p)
 
-    return _typed(regions).groupBy("page_id").cogroup(_typed(expected).groupBy("page_id")).applyInPandas(page, REGION)
+    both = _pages(_typed(regions), "found").join(_pages(_typed(expected, None), "due"), "page_id", "full")
+    return _flat(both.select("page_id", "found", "due"), page)
