@@ -37,7 +37,7 @@ MIN_SHARE = 0.25
 #: A topical term: documents it stands in, share of its language's documents from and to, residual IDF; most terms of a language.
 MIN_DOCS, FROM_SHARE, TO_SHARE, MIN_RIDF, TERMS = 3, 0.012, 0.25, 0.22, 1500
 #: Leaves of the tree, and k-means rounds of each split.
-LEAVES, ROUNDS = 240, 12
+LEAVES, ROUNDS = 240, 6
 #: Rounds in which documents and terms sharpen each other's subjects, and steps within a document.
 REFINE, INNER = 3, 4
 #: A leaf has no subject if so few of the labels due in it are there that chance makes it this rarely, or, where few are due, if its terms' votes are this flat.
