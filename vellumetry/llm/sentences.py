@@ -47,9 +47,9 @@ BEFORE_NUMBER = {
 WITHIN_PHRASE = {
     "eng": "e.g i.e viz cf vs al",
     "fra": "c.-à-d p.ex cf",
-    "deu": "z.B z. d.h d. u.a u. bzw vgl Vgl evtl ggf sog u.U i.A o.ä",
-    "lat": "i.e i. e.g cf sc",
-    "spa": "p.ej p. cf EE",
+    "deu": "z.B z d.h d u.a u bzw vgl Vgl evtl ggf sog u.U i.A o.ä",
+    "lat": "i.e i e.g cf sc",
+    "spa": "p.ej p cf EE",
 }
 # Words before a German ordinal.
 GERMAN_ORDINAL = "im am vom zum zur der die das dem den des ab bis seit und Im Am Vom Zum Zur Der Die Das Dem Den Des Seit"
