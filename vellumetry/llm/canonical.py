@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumetry.session import stored
+
 # Look-alike letters of Greek and Cyrillic and the Latin letters they look like.
 LOOKALIKE_FROM = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳνАВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԜԝҮһӀӏ"
 LOOKALIKE_TO = "ABEZHIKMNOPTYXocjvABESIJKMHOPCTYXaeopcyxsijhdqWwYhIl"
@@ -156,9 +158,10 @@ def same_look_pairs(texts: DataFrame, id_col: str = "result_id", text_col: str =
     """
     base = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t is not null and _id is not null")
     keyed = base.select("_id", _digest("_t").alias("h"), canonical_udf("_t").alias("_c")).select("_id", "h", _digest("_c").alias("k"))
+    keyed = stored(keyed, "p6-keyed")  # digests only; the texts are made canonical once
     # forms that more than one text has; partial aggregation keeps hot forms cheap
     mixed = keyed.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("k")
-    members = keyed.join(mixed, "k", "left_semi").distinct()
+    members = stored(keyed.join(mixed, "k", "left_semi").distinct(), "p6-members")
     classes = members.select("k", "h").distinct()
     pairs = (
         classes.select("k", F.col("h").alias("ha"))
