@@ -325,3 +325,30 @@ def test_projects_round_trip(spark, tmp_path):
         projects.save_templates(spark.createDataFrame([], "volume_id string"), str(tmp_path / "t"))
     texts = spark.createDataFrame([("v", "né\nb")], "volume_id string, text string")
     assert projects.write_texts(texts, str(tmp_path / "texts"), "volume_id").collect()[0].char_count == 4
+
+
+def test_new_project_and_output(spark, tmp_path):
+    some = spark.createDataFrame([("x", "A")], "id string, name string")
+    got = projects.new_projects(some, "B").collect()
+    assert [r.name for r in got] == ["A", "B"] and len(got[1].id) == 8
+    assert (tmp_path / "output").exists() is False and projects.output_dir(spark, str(tmp_path)).endswith("output") and (tmp_path / "output").is_dir()
+
+
+def test_grouped_merges_like_plain_python(spark):
+    rng = random.Random(11)
+    rows = []
+    for p in range(60):
+        for s in range(rng.randint(1, 6)):
+            rows.append(box(s, rng.choice([0.0, 0.1, 0.5]), rng.choice([0.0, 0.1, 0.2, 0.35]), rng.choice([0.2, 0.4]), rng.choice([0.05, 0.1, 0.2]), rng.choice(["body", "header"]), rng.random(), p, rng.choice([1, 2])))
+    data = boxes(spark, rows)
+    names = [c.split()[0] for c in BOX.split(", ")]
+    by: dict[int, list[dict]] = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(dict(zip(names, r, strict=True)))
+    key = lambda b: tuple(round(v, 9) if isinstance(v, float) else v for v in (b["page_id"], b["slot"], b["rtype"], b["x"], b["y"], b["w"], b["h"], b["confidence"]))
+    got = sorted(key(r.asDict()) for r in merge.overlaps_merged(data).collect())
+    assert got == sorted(key(b) for page in by.values() for b in merge.merge_overlaps(page))
+    got = sorted(key(r.asDict()) for r in merge.adjacent_merged(data, "paragraphs").collect())
+    split_ = lambda page, body: [b for b in page if (b["rtype"] == "body") == body]
+    expected = [b for page in by.values() for b in merge.merge_adjacent(split_(page, True), 0.025) + merge.merge_adjacent(split_(page, False), 0.06)]
+    assert got == sorted(map(key, expected))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumetry.operators.model import LAYOUT, Layout
@@ -117,8 +117,18 @@ def _flat(pages: DataFrame, run: Callable[..., list[dict]]) -> DataFrame:
     return pages.mapInArrow(batched, REGION)
 
 
-def _grouped(regions: DataFrame, run: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    return _flat(_pages(regions, "boxes"), run)
+def _grouped(regions: DataFrame, run: Callable[[list[dict]], list[dict]], may_join: Callable[[Column, Column], Column]) -> DataFrame:
+    """run over pages with a pair of boxes that may join; the others, mostly nearly all, never leave the JVM."""
+    pages = _pages(regions, "boxes")
+    pair = F.exists("boxes", lambda a: F.exists("boxes", lambda b: (a["slot"] != b["slot"]) & may_join(a, b)))
+    marked = pages.withColumn("_pair", F.coalesce(pair, F.lit(True)))
+    rest = marked.where(~F.col("_pair")).select("page_id", F.inline("boxes"))
+    return _flat(marked.where("_pair").select("page_id", "boxes"), run).unionByName(rest.select(*_NAMES))
+
+
+def _side(a: Column, b: Column, at: str, size: str) -> Column:
+    """How far two boxes' extents overlap along one axis; negative if they don't."""
+    return F.least(a[at] + a[size], b[at] + b[size]) - F.greatest(a[at], b[at])
 
 
 def _typed(regions: DataFrame, unsure: float | None = 0.0) -> DataFrame:
@@ -131,7 +141,12 @@ def _typed(regions: DataFrame, unsure: float | None = 0.0) -> DataFrame:
 
 
 def overlaps_merged(regions: DataFrame, p: Layout = LAYOUT) -> DataFrame:
-    return _grouped(_typed(regions), lambda boxes: merge_overlaps(boxes, p))
+    def may_join(a: Column, b: Column) -> Column:
+        width, height = _side(a, b, "x", "w"), _side(a, b, "y", "h")
+        union = a["w"] * a["h"] + b["w"] * b["h"] - width * height
+        return (width > 0) & (height > 0) & (width * height > p.overlap * union * 0.999)  # a little wide; Python decides
+
+    return _grouped(_typed(regions), lambda boxes: merge_overlaps(boxes, p), may_join)
 
 
 def adjacent_merged(regions: DataFrame, mode: str = "default", collapse: bool = False, p: Layout = LAYOUT, reset_column: bool = False) -> DataFrame:
@@ -154,7 +169,15 @@ def adjacent_merged(regions: DataFrame, mode: str = "default", collapse: bool =
             body = list(columns.values())
         return body + merge_adjacent(rest, p.gap_other, p, reset_column)
 
-    return _grouped(_typed(regions), run)
+    def may_join(a: Column, b: Column) -> Column:
+        same = a["rtype"].eqNullSafe(b["rtype"]) & (a["col_no"] == b["col_no"])
+        is_body = a["rtype"].eqNullSafe("body")
+        limit = F.when(is_body, -1.0 if gap is None else gap).otherwise(p.gap_other)
+        space = b["y"] - (a["y"] + a["h"])
+        near = (space >= -1e-9) & (space <= limit + 1e-9) & (_side(a, b, "x", "w") >= p.column_overlap * F.least(a["w"], b["w"]) - 1e-9)
+        return same & (near | (is_body if collapse and mode == "default" else F.lit(False)))
+
+    return _grouped(_typed(regions), run, may_join)
 
 
 def template_blended(regions: DataFrame, expected: DataFrame, p: Layout = LAYOUT) -> DataFrame:

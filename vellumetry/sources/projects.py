@@ -15,6 +15,20 @@ segments:array<struct<id:string, type:string, x:double, y:double, w:double, h:do
 ocrResults:map<string,struct<text:string, confidence:double, word_count:int, skipped:boolean, error:string>>, confirmed:boolean>>>>>>"""
 
 
+def new_projects(projects: DataFrame, name: str) -> DataFrame:
+    """projects with one more, empty: its id is made from its name and the number of projects there are."""
+    spark = projects.sparkSession
+    made = spark.createDataFrame([(None, name)], "id string, name string").withColumn("id", F.substring(F.sha2(F.concat_ws(":", F.lit(name), F.lit(projects.count())), 256), 1, 8))
+    return projects.unionByName(made, allowMissingColumns=True)
+
+
+def output_dir(spark: SparkSession, base: str, name: str = "output") -> str:
+    """A folder for results under base, made if it isn't there; any file system Spark can reach."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return path.toString()
+
+
 def load_projects(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """Documents with active_volume, the last one, or null without volumes. Documents of other shapes go through operators.nested."""
     docs = spark.read.schema(SCHEMA).option("multiLine", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).json(path)
