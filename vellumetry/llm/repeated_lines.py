@@ -73,20 +73,23 @@ def line_items(texts: DataFrame, id_col: str, text_col: str, source_col: str, un
     return lines.select("doc", "source", "unit", "line_no", F.struct(F.xxhash64(F.lit(1), "key").alias("x"), F.xxhash64(F.lit(2), "key").alias("y")).alias("item"))
 
 
-def _frequent(found: DataFrame, by: str, least: DataFrame) -> DataFrame:
-    """Support of each (source, by) in distinct units, where it reaches the source's threshold."""
+def _frequent(found: DataFrame, by: str, least: DataFrame, floor: int) -> DataFrame:
+    """Support of each (source, by) in distinct units, where it reaches the source's threshold, which is floor at least.
+
+    What is below floor, nearly everything, is gone before the join on source, so a large source isn't gathered there.
+    """
     support = found.select("source", by, "unit").distinct().groupBy("source", by).agg(F.count("*").alias("support"))
-    return support.join(least, "source").where("support >= least").select("source", by, "support")
+    return support.where(F.col("support") >= floor).join(least, "source").where("support >= least").select("source", by, "support")
 
 
-def prefixspan(items: DataFrame, least: DataFrame, max_length: int | None = None) -> tuple[DataFrame, DataFrame]:
+def prefixspan(items: DataFrame, least: DataFrame, max_length: int | None = None, floor: int = 1) -> tuple[DataFrame, DataFrame]:
     """Frequent sequences of items per source, and the projected database of frequent items.
 
     items: (doc, source, unit, line_no, item); least: (source, least), the support each source asks for.
     Patterns: (source, pattern ARRAY, support); the items of a pattern stand in this order in one doc,
     gaps allowed. Each level's table is written to the shared folder, so lost executors cost no lineage.
     """
-    singles = stored(_frequent(items, "item", least), "p2-level1")
+    singles = stored(_frequent(items, "item", least, floor), "p2-level1")
     base = stored(items.join(singles.select("source", "item"), ["source", "item"], "left_semi"), "p2-projected")
     levels = [singles.select("source", F.array("item").alias("pattern"), "support")]
     ends = base.groupBy("source", "unit", "doc", F.array("item").alias("pattern")).agg(F.min("line_no").alias("end"))
@@ -101,7 +104,7 @@ def prefixspan(items: DataFrame, least: DataFrame, max_length: int | None = None
         )
         length += 1
         grown = stored(grown, f"p2-grown{length}")
-        level = stored(_frequent(grown, "pattern", least), f"p2-level{length}")
+        level = stored(_frequent(grown, "pattern", least, floor), f"p2-level{length}")
         if level.isEmpty():
             break
         levels.append(level)
@@ -137,7 +140,7 @@ def repeated_lines(
         .select("source", F.greatest(F.lit(min_volumes).cast("double"), F.col("n") * F.lit(min_share) - 1e-9).alias("least"))
     )
     items = stored(line_items(texts, id_col, text_col, source_col, unit_col, min_letters), "p2-items")
-    patterns, base = prefixspan(items, least)
+    patterns, base = prefixspan(items, least, floor=min_volumes)
     lines = patterns.select("source", F.explode("pattern").alias("item")).distinct()
     found = base.join(lines, ["source", "item"], "left_semi")
     return found.select(F.col("doc").alias(id_col), "line_no").distinct()
