@@ -226,6 +226,13 @@ def test_damage(spark):
     got = {(r.result_id, r.line_no, r.kind) for r in repair.damage(data).collect()}
     assert got == {(100, 0, "misread"), (100, 0, "hyphen"), (100, 2, "misread"), (100, 4, "furniture"), (103, 0, "misread")}
     assert repair.damage(data.limit(0)).count() == 0
+    text = {r.result_id: r.text for r in repair.repaired(data).collect()}
+    assert text == {100: "the clerk described a well-built lamp", 102: "", 103: "the clerk came to Heavyby"}
+
+
+def test_reflow_of_scripts_and_paragraphs():
+    t = repair.Text("検査官は\n鋤を見た。\n12\nThe Clcrk  came,\nat last.\n\nNew (recom-\nmended), yes", "T")
+    assert t.reflowed({"clcrk": "clerk"}, set()) == "検査官は鋤を見た。 The Clerk came, at last.\n\nNew (recommended), yes"
 
 
 # ------------------------------------------------------------------ tokens

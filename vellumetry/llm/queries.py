@@ -10,7 +10,7 @@ from vellumetry.llm.canonical import same_look_pairs
 from vellumetry.llm.language import identify, labels_of, train
 from vellumetry.llm.leaks import leaks
 from vellumetry.llm.repeated_lines import repeated_lines, without_lines
-from vellumetry.llm.repair import damage, titles
+from vellumetry.llm.repair import damage, repaired, titles
 from vellumetry.llm.sentences import split_sentences
 from vellumetry.llm.subjects import assign_subjects
 from vellumetry.sources.tables import body_results, table
@@ -51,6 +51,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damage(_pages_with_titles(spark, sf_dir)).select("result_id", "line_no", "kind").distinct()
 
 
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(_pages_with_titles(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(body_results(spark, sf_dir, "text"))
 
@@ -70,5 +74,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "subject").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}

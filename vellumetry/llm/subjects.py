@@ -195,7 +195,7 @@ def assign_subjects(
     come from all documents; what reaches the driver is bounded by TERMS, LEAVES and the languages.
     """
     rows = stored(term_rows(docs, model, id_col, text_col), "p9-terms")
-    names = sorted({r["subject"] for r in subjects.select("subject").where("subject is not null").distinct().limit(10_000).collect()})
+    names = sorted({r["subject"] for r in subjects.select("subject").where("subject is not null").distinct().collect()})
     column = topical_terms(stored(term_statistics(rows), "p9-statistics"))
     spark, kind = docs.sparkSession, dict(rows.dtypes)["doc"]
     empty = spark.createDataFrame([], f"`{id_col}` {kind}, subject string, share double")
