@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumetry.session import spread
+
 
 @dataclass(frozen=True)
 class Collection:
@@ -174,7 +176,7 @@ def nodes(records: DataFrame, id_col: str = "record_id", body_col: str = "body",
             )
 
     picked = records.select(F.col(id_col), F.col(body_col).cast("string"))
-    return picked.mapInArrow(run, f"record {kind}, label string, path string, key string, fields map<string,string>")
+    return spread(picked).mapInArrow(run, f"record {kind}, label string, path string, key string, fields map<string,string>")
 
 
 def ancestor(label: Column, levels: int) -> Column:

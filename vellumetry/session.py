@@ -38,12 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/vellumetry-{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes the tables this application has stored; DataFrames made from them can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it back.
 
     Survives the loss of executors, unlike a local checkpoint or a cache.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellumetry/{what}-{uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{what}-{uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, before costly work on few large input splits; else as it is."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= want else df.repartition(want)
