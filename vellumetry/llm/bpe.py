@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumetry.session import spread
+
 #: Where the public vocabularies lie; a parameter of every function that needs one.
 TOKENIZERS = "/opt/tokenizers"
 #: Bytes that a vocabulary file may have to be broadcast; the known ones have under 1 MB.
@@ -196,4 +198,4 @@ def encode(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
             ids = pa.array([vocab.encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
 
-    return texts.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(texts.select(F.col(id_col), F.col(text_col))).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumetry.llm.canonical import canonical
+from vellumetry.session import spread
 
 #: Words in a row that make a leak, words of a seed, and the least tile.
 MIN_WORDS, SEED, MIN_TILE = 12, 5, 5
@@ -150,7 +151,7 @@ def _seed_rows(texts: DataFrame, id_col: str, text_col: str, min_words: int, nam
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), values], names=[name, "seed"])
 
     picked = texts.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col))
-    return picked.mapInArrow(run, f"{name} {kind}, seed bigint")
+    return spread(picked).mapInArrow(run, f"{name} {kind}, seed bigint")
 
 
 def leaks(

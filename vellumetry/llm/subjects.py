@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from vellumetry.llm.canonical import canonical
 from vellumetry.llm.language import LANGUAGES, Model
 from vellumetry.llm.sentences import sentences
-from vellumetry.session import stored
+from vellumetry.session import spread, stored
 
 #: Least share of a document's sentences.
 MIN_SHARE = 0.25
@@ -95,7 +95,7 @@ def term_rows(docs: DataFrame, model: Model, id_col: str, text_col: str) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, sent)], names=["doc", "sents"])
 
     picked = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col)
-    return picked.mapInArrow(run, f"doc {kind}, sents array<struct<lang:tinyint,terms:array<bigint>>>")
+    return spread(picked).mapInArrow(run, f"doc {kind}, sents array<struct<lang:tinyint,terms:array<bigint>>>")
 
 
 def term_statistics(rows: DataFrame) -> DataFrame:
@@ -263,12 +263,12 @@ def assign_subjects(
     leaf = np.hstack([leaf * np.where(none, 0.1, 0.98)[:, None], np.where(none, 0.9, 0.02)[:, None]])
     direct = np.hstack([direct, np.zeros((size, 1))])
 
-    # a term's subjects, over all documents: those of the leaves it stands in
-    spread = exploded.join(leaves, "doc").groupBy("c", "leaf").agg(F.sum("m").alias("m")).collect()
-    total = np.zeros((size, len(centres)))
-    for r in spread:
-        total[r["c"], r["leaf"]] = r["m"]
-    term = total @ leaf + direct
+    # a term's subjects, over all documents: those of the leaves it stands in; added up before anything is brought here
+    shares = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(leaf)], "leaf int, given array<double>")
+    spread = exploded.join(leaves, "doc").groupBy("c", "leaf").agg(F.sum("m").alias("m")).join(F.broadcast(shares), "leaf")  # LEAVES rows
+    term = direct.copy()
+    for r in spread.select("c", "m", F.posexplode("given").alias("s", "g")).groupBy("c", "s").agg(F.sum(F.col("m") * F.col("g")).alias("m")).collect():
+        term[r["c"], r["s"]] += r["m"]
     for _ in range(REFINE):
         term = _refined(bags, term) + direct
     term /= np.maximum(term.sum(axis=0, keepdims=True), 1e-9)  # subjects are of unequal size
