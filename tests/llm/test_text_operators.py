@@ -4,6 +4,7 @@ import os
 import random
 import unicodedata as ud
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -349,6 +350,13 @@ def test_subjects(spark):
     assert subjects.assign_subjects(docs.limit(0), labels, in_use, model).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 10, 1000])
+def test_leaves_without_subject_at_all_sizes(times):
+    seen, due = np.array([2.0, 8, 0, 1, 3]) * times, np.array([4.75, 8, 8, 5, 5]) * times
+    flat = np.array([False, True, False, True, True])
+    assert subjects.without_subject(seen, due, flat).tolist() == [False, False, True, True, False]
+
+
 def test_headings_are_no_sentences():
     assert subjects.running_sentences("THE MODEST JOURNAL\n\nIt came. It went.") == ["It came.", "It went."]
     assert subjects.running_sentences("") == []

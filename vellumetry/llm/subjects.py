@@ -40,8 +40,8 @@ MIN_DOCS, FROM_SHARE, TO_SHARE, MIN_RIDF, TERMS = 3, 0.012, 0.25, 0.22, 1500
 LEAVES, ROUNDS = 240, 6
 #: Rounds in which documents and terms sharpen each other's subjects, and steps within a document.
 REFINE, INNER = 3, 4
-#: A leaf has no subject if so few of the labels due in it are there that chance makes it this rarely, or, where few are due, if its terms' votes are this flat.
-FEW, FLAT = 0.003, 0.3
+#: A leaf has no subject below the first share of the labels due in it, or below the second if its terms' votes are this flat.
+EMPTY, THIN, FLAT = 0.15, 0.25, 0.3
 #: How sure a term must be of its subject, and how much surer than of the next.
 PURITY, LEAD = 0.35, 1.8
 #: Code points of a term in scripts without spaces.
@@ -179,6 +179,11 @@ def _refined(bags: DataFrame, term: np.ndarray) -> np.ndarray:
     return out
 
 
+def without_subject(seen: np.ndarray, due: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Which leaves are about nothing in use, by their shares of the labels due, which don't change with the corpus's size."""
+    return ((seen + 1) / (due + 1) < EMPTY) | (flat & (seen <= THIN * due))
+
+
 def assign_subjects(
     docs: DataFrame,
     labels: DataFrame,
@@ -257,9 +262,7 @@ def assign_subjects(
     # leaves about nothing in use: hardly any hand label where many are due, or terms that speak for everything alike
     held = {r["leaf"]: r["n"] for r in leaves.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     due = np.array([held.get(i, 0) for i in range(len(centres))]) * (tagged.sum() / max(sum(held.values()), 1))
-    seen = np.floor(tagged.sum(axis=1))
-    chance = np.array([sum(math.exp(-d) * d**k / math.factorial(k) for k in range(int(x) + 1)) if x < d else 1.0 for d, x in zip(due, seen, strict=True)])
-    none = (chance < FEW) | ((due < 6) & flat & (seen == 0))
+    none = without_subject(tagged.sum(axis=1), due, flat)
     leaf = np.hstack([leaf * np.where(none, 0.1, 0.98)[:, None], np.where(none, 0.9, 0.02)[:, None]])
     direct = np.hstack([direct, np.zeros((size, 1))])
 
