@@ -357,6 +357,15 @@ def test_leaves_without_subject_at_all_sizes(times):
     assert subjects.without_subject(seen, due, flat).tolist() == [False, False, True, True, False]
 
 
+def test_terms_of_rare_subjects(spark, monkeypatch):
+    # 1000 documents; 90 is in 5 of them and often there, 91 as rare but never twice in one
+    rows = [(0, None, 1000, 1000), (0, 90, 5, 15), (0, 91, 5, 5), (0, 92, 2, 9), (0, 93, 60, 150), (0, 94, 500, 3000)]
+    statistics = spark.createDataFrame(rows, "lang tinyint, term bigint, df bigint, cf bigint")
+    assert set(subjects.topical_terms(statistics)) == {(0, 90), (0, 93)}
+    monkeypatch.setattr(subjects, "WIDTH", 1)
+    assert {k: i for k, (i, _) in subjects.topical_terms(statistics).items()} == {(0, 90): 0, (0, 93): 0}
+
+
 def test_headings_are_no_sentences():
     assert subjects.running_sentences("THE MODEST JOURNAL\n\nIt came. It went.") == ["It came.", "It went."]
     assert subjects.running_sentences("") == []

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,10 @@ from vellumetry.session import spread, stored
 
 #: Least share of a document's sentences.
 MIN_SHARE = 0.25
-#: A topical term: documents it stands in, share of its language's documents from and to, residual IDF; most terms of a language.
-MIN_DOCS, FROM_SHARE, TO_SHARE, MIN_RIDF, TERMS = 3, 0.012, 0.25, 0.22, 1500
+#: A topical term: documents it stands in, at most what share of its language's documents, residual IDF.
+MIN_DOCS, TO_SHARE, MIN_RIDF = 3, 0.25, 0.22
+#: Columns of the vectors; terms beyond so many share them.
+WIDTH = 8192
 #: Leaves of the tree, and k-means rounds of each split.
 LEAVES, ROUNDS = 240, 6
 #: Rounds in which documents and terms sharpen each other's subjects, and steps within a document.
@@ -133,7 +135,10 @@ def term_statistics(rows: DataFrame) -> DataFrame:
 
 
 def topical_terms(statistics: DataFrame) -> dict[tuple[int, int], tuple[int, float]]:
-    """(language, term) -> (column, weight) of the topical terms; at most TERMS for each language."""
+    """(language, term) -> (column, weight) of all topical terms, however rare their subject is.
+
+    The strongest WIDTH terms have a column each, the others share these by hash.
+    """
     n = {r["lang"]: r["df"] for r in statistics.where("term is null").collect()}
     if not n:
         return {}
@@ -142,14 +147,18 @@ def topical_terms(statistics: DataFrame) -> dict[tuple[int, int], tuple[int, flo
     rows = (
         statistics.where(f"term is not null and df >= {MIN_DOCS}")
         .withColumn("n", total)
-        .where((F.col("df") >= FROM_SHARE * F.col("n")) & (F.col("df") <= TO_SHARE * F.col("n")))
+        .where(F.col("df") <= TO_SHARE * F.col("n"))
         .withColumn("ridf", ridf)
         .where(F.col("ridf") >= MIN_RIDF)
     )
-    # what is left is bounded: a term in a share of FROM_SHARE of documents, times the terms of a document
-    best = Window.partitionBy("lang").orderBy(F.desc(F.col("ridf") * F.col("df")), "term")
-    got = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= TERMS).select("lang", "term", "df", "n").collect()
-    return {(r["lang"], r["term"]): (i, math.log(r["n"] / r["df"])) for i, r in enumerate(sorted(got, key=lambda r: (r["lang"], r["term"])))}
+    # what comes here grows with the vocabulary, not with the documents
+    got = rows.select("lang", "term", "df", "n", (F.col("ridf") * F.col("df") / F.col("n")).alias("s")).collect()
+    got.sort(key=lambda r: (-r["s"], r["lang"], r["term"]))
+    own = sorted(got[:WIDTH], key=lambda r: (r["lang"], r["term"]))
+    out = {(r["lang"], r["term"]): (i, math.log(r["n"] / r["df"])) for i, r in enumerate(own)}
+    for r in got[WIDTH:]:
+        out[r["lang"], r["term"]] = (r["term"] * 31 + r["lang"]) % WIDTH, math.log(r["n"] / r["df"])
+    return out
 
 
 def _refined(bags: DataFrame, term: np.ndarray) -> np.ndarray:
@@ -197,7 +206,7 @@ def assign_subjects(
 
     labels: (doc_id, subject), some of them wrong or repeated; subjects: the areas in use. Null, empty
     and blank documents have none, and without labels no document has any. The tree and the counts
-    come from all documents; what reaches the driver is bounded by TERMS, LEAVES and the languages.
+    come from all documents; what reaches the driver is bounded by WIDTH, LEAVES and the vocabulary.
     """
     rows = stored(term_rows(docs, model, id_col, text_col), "p9-terms")
     names = sorted({r["subject"] for r in subjects.select("subject").where("subject is not null").distinct().collect()})
@@ -220,10 +229,10 @@ def assign_subjects(
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(columns, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc", "columns", "counts"])
 
     bags = stored(rows.mapInArrow(counted, f"doc {kind}, columns array<int>, counts array<int>"), "p9-bags")
-    weight = np.zeros(len(column))
+    size = min(len(column), WIDTH)
+    weight = np.full(size, np.inf)
     for i, w in column.values():
-        weight[i] = w
-    size = len(column)
+        weight[i] = min(weight[i], w)
 
     @F.udf(VectorUDT())
     def vector(columns: list[int], counts: list[int]) -> object:
