@@ -231,6 +231,16 @@ def test_damage(spark):
     assert text == {100: "the clerk described a well-built lamp", 102: "", 103: "the clerk came to Heavyby"}
 
 
+def test_titles_of_volumes_without_headers(spark):
+    results = spark.createDataFrame([("a", "r", "THE OWN TITLE."), ("b", "gone", "x")], "volume_id string, region_id string, text string")
+    regions = spark.createDataFrame([("r", " Header")], "region_id string, region_type string")
+    names = [("a", "Another Name, no. 2"), ("b", "The Modest Journal Of Ardby, no. 12"), ("c", "Volume 14"), ("d", None), ("e", "東浜野雑誌")]
+    volumes = spark.createDataFrame(names, "volume_id string, volume_name string")
+    got = {r.volume_id: r.title for r in repair.titles(results, regions, volumes).collect()}
+    assert got == {"a": "THE OWN TITLE", "b": "The Modest Journal Of Ardby", "e": "東浜野雑誌"}
+    assert repair.furniture(["261 THE M0DEST JOURNAL OF ARDBY"], got["b"]) == [True]
+
+
 def test_reflow_of_scripts_and_paragraphs():
     t = repair.Text("検査官は\n鋤を見た。\n12\nThe Clcrk  came,\nat last.\n\nNew (recom-\nmended), yes", "T")
     assert t.reflowed({"clcrk": "clerk"}, set()) == "検査官は鋤を見た。 The Clerk came, at last.\n\nNew (recommended), yes"

@@ -42,7 +42,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages_with_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "scan_pages").select("page_id", "confirmed")
-    heads = titles(table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "ocr_regions"))
+    heads = titles(table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "ocr_regions"), table(spark, sf_dir, "scan_volumes"))
     texts = body_results(spark, sf_dir, "text", "page_id", "volume_id", "confidence")
     return texts.join(pages.hint("shuffle_hash"), "page_id").join(heads.hint("shuffle_hash"), "volume_id", "left")
 

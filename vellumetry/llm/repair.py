@@ -4,7 +4,7 @@ Method. Words are counted over all pages; those that recur on pages put right by
 vocabulary. A word unknown there is looked up in a trie of the vocabulary, intersected with the
 automaton of all words within one edit of it, so that no candidate is missed; pairs of letters that
 print alike ("rn" and "m") count as one edit. Candidates are ranked by how often they occur. Running titles are found by the titles their volume has in its header
-regions, page numbers and sheet marks by their form. Words broken at line ends are joined unless the
+regions, or else by its name, page numbers and sheet marks by their form. Words broken at line ends are joined unless the
 hyphenated form is a compound in use. Text is then reflowed into paragraphs.
 
 Names are never corrected: a word with a capital counts as a name unless a word of the vocabulary
@@ -366,13 +366,22 @@ def corrections(ordinary: DataFrame, unknown: DataFrame, blocks: int, chunks: in
     return found.groupBy("word").agg(F.max_by(F.struct("right", "at"), F.struct("n", "right")).alias("best")).select("word", "best.right", "best.at")
 
 
-def titles(results: DataFrame, regions: DataFrame) -> DataFrame:
-    """(volume_id, title): the text most often found in a volume's header regions, one for each volume."""
+def titles(results: DataFrame, regions: DataFrame, volumes: DataFrame | None = None) -> DataFrame:
+    """(volume_id, title): the text most often found in a volume's header regions, one for each volume.
+
+    Volumes without such a text have their name in volumes, without its number, unless it is nothing but a number.
+    """
     headers = regions.where(F.lower(F.trim("region_type")) == "header").select("region_id")
     texts = results.where("text is not null and trim(text) <> '' and volume_id is not null").join(headers.hint("shuffle_hash"), "region_id", "left_semi")
     tidy = F.trim(F.regexp_replace("text", r"[.\s]+$", ""))
     counted = texts.where(F.length("text") < 200).groupBy("volume_id", tidy.alias("title")).agg(F.count("*").alias("n"))
-    return counted.groupBy("volume_id").agg(F.max_by("title", F.struct("n", "title")).alias("title"))
+    heads = counted.groupBy("volume_id").agg(F.max_by("title", F.struct("n", "title")).alias("title"))
+    if volumes is None:
+        return heads
+    name = F.trim(F.regexp_replace("volume_name", r",\s*no\.\s*\d+\s*$", ""))
+    named = volumes.select("volume_id", name.alias("name")).where(F.length("name") > 0).where(~F.col("name").rlike(r"(?i)^volume\s*\d*$"))
+    named = named.groupBy("volume_id").agg(F.max("name").alias("name"))
+    return heads.join(named, "volume_id", "full").select("volume_id", F.coalesce("title", "name").alias("title"))
 
 
 class _Found:
