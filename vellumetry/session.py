@@ -7,6 +7,7 @@ import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(app: str = "vellumetry", cpus: str = "8", partitions: int = 8) -> SparkSession:
@@ -26,12 +27,14 @@ def local_session(app: str = "vellumetry", cpus: str = "8", partitions: int = 8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, or, only where that is unset (tests), a local one."""
+    """Folder all executors share: spark.checkpoint.dir. Only a session within one process may do without; it gets one of its own."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get().rsplit("/", 1)[0]
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="vellumetry-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(set_dir)
@@ -48,18 +51,24 @@ def drop_stored(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it back.
+def stored(df: DataFrame, what: str, schema: StructType | None = None) -> DataFrame:
+    """Cuts the lineage: writes df as a table in the shared folder and reads it back, by df's schema or another that fits.
 
     Survives the loss of executors, unlike a local checkpoint or a cache.
     """
     spark = df.sparkSession
     path = f"{_tables_dir(spark)}/{what}-{uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores, before costly work on few large input splits; else as it is."""
-    want = df.sparkSession.sparkContext.defaultParallelism
+    """A plain scan in at least as many partitions as there are cores, before costly work on few large input splits; else as it is.
+
+    Only the files of df are looked at: no job runs here, as asking for the partitions of a plan with shuffles would start one.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if "Exchange" in (plan := df._jdf.queryExecution().executedPlan().toString()) or "AdaptiveSparkPlan" in plan:
+        return df
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= want else df.repartition(want)
