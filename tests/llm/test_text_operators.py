@@ -361,19 +361,32 @@ def test_subjects(spark):
 
 
 @pytest.mark.parametrize("times", [1, 10, 1000])
-def test_leaves_without_subject_at_all_sizes(times):
-    seen, due = np.array([2.0, 8, 0, 1, 3]) * times, np.array([4.75, 8, 8, 5, 5]) * times
-    flat = np.array([False, True, False, True, True])
-    assert subjects.without_subject(seen, due, flat).tolist() == [False, False, True, True, False]
+def test_leaves_by_labels_and_terms_at_all_sizes(times):
+    # leaves: all labelled 0; half of the labels due; none of those due; unlabelled, with the terms of the first
+    counts = np.array([[9.0, 0, 1, 0], [0, 9, 1, 0], [0, 0, 1, 9], [9, 0, 1, 0]]) * times
+    tagged, due = np.array([[8.0, 0], [0, 4], [0, 0], [0, 0]]) * times, np.array([8.0, 8, 8, 0]) * times
+    got = subjects.leaf_subjects(counts, tagged, due)
+    assert got.sum(axis=1) == pytest.approx(1) and got.argmax(axis=1).tolist() == [0, got[1].argmax(), 2, 0] and got[1, 1] > 0.4
+    votes = subjects.term_subjects(counts, got)
+    assert votes[0].argmax() == 0 and votes[1].argmax() == 1 and votes[3].argmax() == 2
 
 
 def test_terms_of_rare_subjects(spark, monkeypatch):
     # 1000 documents; 90 is in 5 of them and often there, 91 as rare but never twice in one
-    rows = [(0, None, 1000, 1000), (0, 90, 5, 15), (0, 91, 5, 5), (0, 92, 2, 9), (0, 93, 60, 150), (0, 94, 500, 3000)]
-    statistics = spark.createDataFrame(rows, "lang tinyint, term bigint, df bigint, cf bigint")
-    assert set(subjects.topical_terms(statistics)) == {(0, 90), (0, 93)}
+    rows = [(-1, 1000, 1000), (90, 5, 15), (91, 5, 5), (92, 2, 9), (93, 60, 150), (94, 500, 3000)]
+    statistics = spark.createDataFrame(rows, "term bigint, df bigint, cf bigint")
+    assert subjects.topical_terms(statistics)[0].tolist() == [90, 93]
     monkeypatch.setattr(subjects, "WIDTH", 1)
-    assert {k: i for k, (i, _) in subjects.topical_terms(statistics).items()} == {(0, 90): 0, (0, 93): 0}
+    assert subjects.topical_terms(statistics)[1].tolist() == [0, 0]
+    assert len(subjects.topical_terms(statistics.limit(0))[0]) == 0
+    assert subjects.columns_of(np.array([89, 90, 93, 99]), np.array([90, 93]), np.array([4, 2])).tolist() == [-1, 4, 2, -1]
+
+
+def test_statistics_of_terms(spark):
+    one, two = 7, 2 << 32 | 7
+    rows = spark.createDataFrame([(1, [one, two], [2, 1]), (2, [one], [1]), (3, [], [])], "doc bigint, own array<bigint>, times array<int>")
+    got = {r.term: (r.df, r.cf) for r in subjects.term_statistics(rows).collect()}
+    assert got == {one: (2, 3), two: (1, 1), -1: (2, 2), -3: (1, 1)}
 
 
 def test_headings_are_no_sentences():

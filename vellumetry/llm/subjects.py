@@ -2,33 +2,32 @@
 
 Method: bisecting k-means. Each document is a normalised vector of topical terms, words that come in
 bursts (residual IDF within their language: more often in one document than their document frequency
-foretells), so languages and names don't drown the subjects. The leaves get their subjects by their
-discriminative terms, which vote with the hand labels of the documents they stand in; the leaves then
-tell each term's subjects, over all documents, and terms and documents sharpen each other's in a few
-rounds. Leaves that no subject fits make up one more, which is never assigned. A document is a mixture: every sentence goes to the
-subject its terms speak for, and the subjects with a large enough share of sentences are assigned.
+foretells), so languages and names don't drown the subjects. The leaves of the tree are labelled by
+the hand labels of their documents and by their discriminative terms, those a leaf has more of than
+the corpus; what labels are missing where they are due makes up one more subject, which is never
+assigned. A term stands for the mixture of the leaves it occurs in, and so for the subjects these are
+labelled with; a sentence has the subject that the mixtures of its terms agree on best, and the
+subjects with a large enough share of a document's sentences are assigned.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import pickle
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumetry.llm.canonical import canonical
-from vellumetry.llm.language import LANGUAGES, Model
+from vellumetry.llm.language import Model
 from vellumetry.llm.sentences import sentences
 from vellumetry.session import spread, stored
 
@@ -38,16 +37,14 @@ MIN_SHARE = 0.25
 MIN_DOCS, TO_SHARE, MIN_RIDF = 3, 0.25, 0.22
 #: Columns of the vectors; terms beyond so many share them.
 WIDTH = 8192
-#: Leaves of the tree, and k-means rounds of each split.
-LEAVES, ROUNDS = 240, 6
-#: Rounds in which documents and terms sharpen each other's subjects, and steps within a document.
-REFINE, INNER = 3, 4
-#: A leaf has no subject below the first share of the labels due in it, or below the second if its terms' votes are this flat.
-EMPTY, THIN, FLAT = 0.15, 0.25, 0.3
-#: How sure a term must be of its subject, and how much surer than of the next.
-PURITY, LEAD = 0.35, 1.8
+#: Leaves of the tree grow with the cube root of the documents; documents a leaf has on average at least; k-means rounds of each split.
+LEAVES, LEAF, ROUNDS = 11.6, 8, 8
+#: Documents' worth of labels that a leaf's discriminative terms add to the hand labels in it.
+TERMS_COUNT = 0.3
 #: Code points of a term in scripts without spaces.
 RUN = 5
+#: Words a worker keeps with their hashes.
+MEMO = 500_000
 
 _KANJI = re.compile("[一-鿿々]{1,8}|[゠-ヿー]{2,}")
 _THAI = re.compile("[฀-๿]+")
@@ -56,13 +53,27 @@ _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[ऀ-ःऺ-ॏঁ-ঃ়-্])+")
 _ENDED = re.compile(r"[.!?।॥|。！？…][”’»“」)）\"'\s]*$")
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.encode("utf-8", "replace"))
+        if len(self) < MEMO:
+            self[word] = h
+        return h
+
+
+_hash = _Hashes()
+
+
 def sentence_terms(text: str) -> set[int]:
     """Hashes of a sentence's terms: words, runs of kanji or katakana, RUN code points of Thai."""
-    out = set(_KANJI.findall(text))
-    for run in _THAI.findall(text):
-        out.update(run[i : i + RUN] for i in range(len(run) - RUN + 1))
-    out.update(w.lower() for w in _WORD.findall(_UNSPACED.sub(" ", text)) if len(w) > 2)
-    return {zlib.crc32(w.encode("utf-8", "replace")) for w in out}
+    out = set()
+    if not text.isascii() and _UNSPACED.search(text):
+        out.update(_KANJI.findall(text))
+        for run in _THAI.findall(text):
+            out.update(run[i : i + RUN] for i in range(len(run) - RUN + 1))
+        text = _UNSPACED.sub(" ", text)
+    out.update(w for w in _WORD.findall(text.lower()) if len(w) > 2)
+    return {_hash[w] for w in out}
 
 
 def running_sentences(text: str) -> list[str]:
@@ -77,120 +88,144 @@ def running_sentences(text: str) -> list[str]:
 _models: dict[str, Model] = {}
 
 
+def _lists(values: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, kind))
+
+
 def term_rows(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    """(doc, sents ARRAY<STRUCT<lang, terms>>) of each document, in one Arrow pass."""
+    """(doc, sizes, terms, own, times) of each document, in one Arrow pass: its sentences' numbers of terms, their terms one after the
+    other, and the distinct terms with the sentences each stands in. A term's upper half is its sentence's language, the lower its hash.
+    """
     data = pickle.dumps(model)
     shared = docs.sparkSession.sparkContext.broadcast(data)  # fixed size
     key = hashlib.blake2b(data, digest_size=8).hexdigest()
     kind = dict(docs.dtypes)[id_col]
-    sent = pa.list_(pa.struct([("lang", pa.int8()), ("terms", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _models.get(key) or _models.setdefault(key, pickle.loads(shared.value))
+        own_model = _models.get(key) or _models.setdefault(key, pickle.loads(shared.value))
         for batch in batches:
             cut = [running_sentences(canonical(t)) for t in batch.column(1).to_pylist()]
-            langs = own.logits([s for c in cut for s in c])[0].argmax(axis=1) if any(cut) else np.empty(0, int)
-            at, out = 0, []
-            for c in cut:
-                out.append([{"lang": int(langs[at + i]), "terms": sorted(sentence_terms(s))} for i, s in enumerate(c)])
-                at += len(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, sent)], names=["doc", "sents"])
+            flat = [s for c in cut for s in c]
+            langs = own_model.logits(flat)[0].argmax(axis=1).astype(np.int64) if flat else np.empty(0, np.int64)
+            found = [sorted(sentence_terms(s)) for s in flat]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            terms = np.fromiter((t for f in found for t in f), np.int64, int(sizes.sum())) | np.repeat(langs << 32, sizes)
+            doc_of = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+            of_term = np.repeat(doc_of, sizes)
+            order = np.lexsort((terms, of_term))
+            t, d = terms[order], of_term[order]
+            first = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])))) if len(t) else np.empty(0, np.int64)
+            times = np.diff(np.append(first, len(t)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    _lists(sizes, [len(c) for c in cut], pa.int32()),
+                    _lists(terms, np.bincount(of_term, minlength=len(cut)).tolist(), pa.int64()),
+                    _lists(t[first], np.bincount(d[first], minlength=len(cut)).tolist(), pa.int64()),
+                    _lists(times, np.bincount(d[first], minlength=len(cut)).tolist(), pa.int32()),
+                ],
+                names=["doc", "sizes", "terms", "own", "times"],
+            )
 
     picked = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col)
-    return spread(picked).mapInArrow(run, f"doc {kind}, sents array<struct<lang:tinyint,terms:array<bigint>>>")
+    return spread(picked).mapInArrow(run, f"doc {kind}, sizes array<int>, terms array<bigint>, own array<bigint>, times array<int>")
 
 
 def term_statistics(rows: DataFrame) -> DataFrame:
-    """(lang, term, df, cf): documents and sentences of each term in each language; term null: all of the language's documents.
+    """(term, df, cf): documents and sentences each term stands in; terms -1 - language: the documents that have any of the language.
 
-    Each task adds up its own documents before the shuffle.
+    Added up by each task before the shuffle, which is keyed by the term.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
-        cf: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            keys = list(df)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int8()), pa.array([k[1] for k in keys], pa.int64()), pa.array([df[k] for k in keys], pa.int64()), pa.array([cf[k] for k in keys], pa.int64())],
-                names=["lang", "term", "df", "cf"],
-            )
-            df.clear()
-            cf.clear()
-            return out
-
-        for batch in batches:
-            for sents in batch.column(0).to_pylist():
-                own = Counter((s["lang"], t) for s in sents for t in s["terms"])
-                own.update((lang, None) for lang in {s["lang"] for s in sents})
-                cf.update(own)
-                df.update(own.keys())
-            if len(df) > 400_000:
-                yield flush()
-        yield flush()
-
-    counted = rows.select("sents").mapInArrow(run, "lang tinyint, term bigint, df bigint, cf bigint")
-    return counted.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    langs = F.transform(F.array_distinct(F.transform("own", lambda t: F.shiftright(t, 32))), lambda x: F.struct((-1 - x).alias("own"), F.lit(1).alias("times")))
+    each = rows.select(F.explode(F.concat(F.arrays_zip("own", "times"), langs)).alias("x"))
+    return each.groupBy(F.col("x.own").alias("term")).agg(F.count("*").alias("df"), F.sum("x.times").alias("cf"))
 
 
-def topical_terms(statistics: DataFrame) -> dict[tuple[int, int], tuple[int, float]]:
-    """(language, term) -> (column, weight) of all topical terms, however rare their subject is.
+def topical_terms(statistics: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms in order, column of each, weight of each) of all topical terms, however rare their subject is.
 
-    The strongest WIDTH terms have a column each, the others share these by hash.
+    The strongest WIDTH terms have a column each, the others share these by hash. Only terms that are
+    topical come to the driver, 24 bytes each: a number that grows with the vocabulary, not with the documents.
     """
-    n = {r["lang"]: r["df"] for r in statistics.where("term is null").collect()}
+    n = {-1 - r["term"]: r["df"] for r in statistics.where("term < 0").collect()}  # one row for each language
     if not n:
-        return {}
-    total = F.element_at(F.create_map(*(F.lit(x) for k, v in n.items() for x in (int(k), float(v)))), F.col("lang").cast("int"))
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    total = F.element_at(F.create_map(*(F.lit(x) for k, v in n.items() for x in (int(k), float(v)))), F.shiftright("term", 32).cast("int"))
     ridf = F.log2(F.col("n") / F.col("df")) + F.log2(1 - F.exp(-F.col("cf") / F.col("n")))
     rows = (
-        statistics.where(f"term is not null and df >= {MIN_DOCS}")
+        statistics.where(f"term >= 0 and df >= {MIN_DOCS}")
         .withColumn("n", total)
         .where(F.col("df") <= TO_SHARE * F.col("n"))
         .withColumn("ridf", ridf)
         .where(F.col("ridf") >= MIN_RIDF)
     )
-    # what comes here grows with the vocabulary, not with the documents
-    got = rows.select("lang", "term", "df", "n", (F.col("ridf") * F.col("df") / F.col("n")).alias("s")).collect()
-    got.sort(key=lambda r: (-r["s"], r["lang"], r["term"]))
-    own = sorted(got[:WIDTH], key=lambda r: (r["lang"], r["term"]))
-    out = {(r["lang"], r["term"]): (i, math.log(r["n"] / r["df"])) for i, r in enumerate(own)}
-    for r in got[WIDTH:]:
-        out[r["lang"], r["term"]] = (r["term"] * 31 + r["lang"]) % WIDTH, math.log(r["n"] / r["df"])
-    return out
+    got = rows.select("term", F.log(F.col("n") / F.col("df")).alias("w"), (F.col("ridf") * F.col("df") / F.col("n")).alias("s")).toArrow()
+    term, weight, strength = (got.column(c).to_numpy() for c in ("term", "w", "s"))
+    column = ((term >> 32) + term * 31) % WIDTH
+    best = np.sort(np.lexsort((term, -strength))[:WIDTH])
+    column[best[np.argsort(term[best])]] = np.arange(len(best))
+    order = np.argsort(term)
+    return term[order], column[order], weight[order]
+
 
+def columns_of(terms: np.ndarray, known: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The column of each term, -1 for those that aren't topical."""
+    at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+    return np.where(known[at] == terms, column[at], -1)
 
-def _refined(bags: DataFrame, term: np.ndarray) -> np.ndarray:
-    """Occurrences of each term by subject, each document's occurrences shared out by the mixture of subjects they make up."""
-    size, k = term.shape
-    given = term / np.maximum(term.sum(axis=0, keepdims=True), 1e-9)  # of a subject, how often the term
-    shared = bags.sparkSession.sparkContext.broadcast(given)
+
+def _vectors(rows: DataFrame, known: np.ndarray, column: np.ndarray, weight: np.ndarray, size: int) -> DataFrame:
+    """(doc, features, columns, counts) of each document with a topical term: its normalised vector, made in one Arrow pass and stored."""
+    shared = rows.sparkSession.sparkContext.broadcast((known, column, weight))
+    kind = dict(rows.dtypes)["doc"]
+    empty = np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((size, k))
+        known, column, weight = shared.value
         for batch in batches:
-            for columns, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p, m = shared.value[columns] + 1e-12, np.array(counts, float)[:, None]
-                mix = np.full(k, 1 / k)
-                for _ in range(INNER):
-                    part = p * mix
-                    part *= m / part.sum(axis=1, keepdims=True)
-                    mix = part.sum(axis=0) + 0.01
-                    mix /= mix.sum()
-                np.add.at(out, columns, part)
-        c, s = np.nonzero(out > 1e-6)
-        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(s), pa.array(out[c, s])], names=["c", "s", "m"])
-
-    out = np.zeros((size, k))
-    for r in bags.select("columns", "counts").mapInArrow(run, "c bigint, s bigint, m double").groupBy("c", "s").agg(F.sum("m").alias("m")).collect():
-        out[r["c"], r["s"]] = r["m"]
-    return out
+            own, times = batch.column(1), batch.column(2)
+            c = columns_of(own.flatten().to_numpy(), known, column)
+            d = np.repeat(np.arange(len(batch)), own.value_lengths().to_numpy())
+            keep = c >= 0
+            key, where = np.unique(d[keep] * WIDTH + c[keep], return_inverse=True)
+            count = np.bincount(where, weights=times.flatten().to_numpy()[keep], minlength=len(key))
+            d, c = key // WIDTH, key % WIDTH
+            v = np.sqrt(count) * weight[c]
+            v /= np.sqrt(np.bincount(d, weights=v * v, minlength=len(batch)))[d]
+            rows_, sizes = np.unique(d, return_counts=True) if len(d) else (empty, empty)
+            lists = _lists(c, sizes, pa.int32())
+            features = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(len(rows_)), pa.int8()), pa.array(np.full(len(rows_), size), pa.int32()), lists, _lists(v, sizes, pa.float64())], names=["type", "size", "indices", "values"]
+            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows_)), features, lists, _lists(count, sizes, pa.int32())], names=["doc", "features", "columns", "counts"])
+
+    made = rows.select("doc", "own", "times").mapInArrow(run, f"doc {kind}, features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>, columns array<int>, counts array<int>")
+    read = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("features", VectorUDT()), T.StructField("columns", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    return stored(made, "p9-vectors", read)
 
 
-def without_subject(seen: np.ndarray, due: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """Which leaves are about nothing in use, by their shares of the labels due, which don't change with the corpus's size."""
-    return ((seen + 1) / (due + 1) < EMPTY) | (flat & (seen <= THIN * due))
+def leaf_subjects(counts: np.ndarray, tagged: np.ndarray, due: np.ndarray) -> np.ndarray:
+    """The subjects of each leaf, shares that add up to 1; the last is what is about no subject in use.
+
+    counts: leaf x term; tagged: leaf x subject, hand labels; due: labelled documents to be expected in
+    each leaf by its size. Labels that are due but missing speak for no subject. A leaf's discriminative
+    terms speak for what they were labelled with in all leaves.
+    """
+    own = np.hstack([tagged, np.maximum(due - tagged.sum(axis=1), 0)[:, None]])
+    first = own + 1e-3
+    votes = term_subjects(counts, first / first.sum(axis=1, keepdims=True))
+    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9)
+    lift = np.maximum(share - counts.sum(axis=0) / max(counts.sum(), 1e-9), 0)
+    said = lift @ votes**2 + 1e-9
+    out = own + TERMS_COUNT * said / said.sum(axis=1, keepdims=True)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def term_subjects(counts: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """Term x subject: by the mixture of leaves each term occurs in, and as if all subjects were of one size."""
+    by = counts.T @ leaves
+    by /= np.maximum(by.sum(axis=0, keepdims=True), 1e-9)
+    return by / np.maximum(by.sum(axis=1, keepdims=True), 1e-12)
 
 
 def assign_subjects(
@@ -206,106 +241,54 @@ def assign_subjects(
 
     labels: (doc_id, subject), some of them wrong or repeated; subjects: the areas in use. Null, empty
     and blank documents have none, and without labels no document has any. The tree and the counts
-    come from all documents; what reaches the driver is bounded by WIDTH, LEAVES and the vocabulary.
+    come from all documents; what reaches the driver is bounded by WIDTH times the leaves, and the topical terms.
     """
     rows = stored(term_rows(docs, model, id_col, text_col), "p9-terms")
     names = sorted({r["subject"] for r in subjects.select("subject").where("subject is not null").distinct().collect()})
-    column = topical_terms(stored(term_statistics(rows), "p9-statistics"))
-    spark, kind = docs.sparkSession, dict(rows.dtypes)["doc"]
-    empty = spark.createDataFrame([], f"`{id_col}` {kind}, subject string, share double")
-    if not column or not names:
-        return empty
-    shared = spark.sparkContext.broadcast(column)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, columns, counts = [], [], []
-            for r, sents in enumerate(batch.column(1).to_pylist()):
-                own = Counter(c[0] for s in sents for t in s["terms"] if (c := shared.value.get((s["lang"], t))))
-                if own:
-                    keep.append(r)
-                    columns.append(sorted(own))
-                    counts.append([own[c] for c in columns[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(columns, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc", "columns", "counts"])
-
-    bags = stored(rows.mapInArrow(counted, f"doc {kind}, columns array<int>, counts array<int>"), "p9-bags")
-    size = min(len(column), WIDTH)
+    known, column, idf = topical_terms(stored(term_statistics(rows), "p9-statistics"))
+    spark = docs.sparkSession
+    result = T.StructType([T.StructField(id_col, rows.schema["doc"].dataType), T.StructField("subject", T.StringType()), T.StructField("share", T.DoubleType())])
+    if not len(known) or not names:
+        return spark.createDataFrame([], result)
+    size = int(column.max()) + 1
     weight = np.full(size, np.inf)
-    for i, w in column.values():
-        weight[i] = min(weight[i], w)
-
-    @F.udf(VectorUDT())
-    def vector(columns: list[int], counts: list[int]) -> object:
-        v = np.array([math.sqrt(n) for n in counts]) * weight[columns]
-        return Vectors.sparse(size, columns, v / np.linalg.norm(v))
-
-    vectors = bags.select("doc", vector("columns", "counts").alias("features"))
-    tree = BisectingKMeans(k=LEAVES, maxIter=ROUNDS, seed=7, distanceMeasure="cosine", minDivisibleClusterSize=4.0).fit(vectors)
-    centres = np.array([np.asarray(c) for c in tree.clusterCenters()])
-    leaves = stored(tree.transform(vectors).select("doc", F.col("prediction").alias("leaf")), "p9-leaves")
+    np.minimum.at(weight, column, idf)
+    vectors = _vectors(rows, known, column, weight, size)
 
-    # how often hand labels and terms meet; a document with two labels counts half for each
     hand = labels.select(F.col(id_col).alias("doc"), "subject").where(F.col("subject").isin(names)).distinct()
-    share = hand.groupBy("doc").agg(F.count("*").alias("k"))
-    exploded = bags.select("doc", F.explode(F.arrays_zip("columns", "counts")).alias("x")).select("doc", F.col("x.columns").alias("c"), F.col("x.counts").alias("m"))
-    met = exploded.join(hand.join(share, "doc"), "doc").groupBy("c", "subject").agg(F.sum(F.col("m") / F.col("k")).alias("m")).collect()
-    direct = np.zeros((size, len(names)))
-    for r in met:
-        direct[r["c"], names.index(r["subject"])] = r["m"]
-    by_subject = direct.sum(axis=0, keepdims=True)
-    rate = (direct + 0.1 * by_subject / max(by_subject.sum(), 1)) / np.maximum(by_subject, 1)
-    vote = rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-9)
-
-    # a leaf's discriminative terms: what its centre has above the mean of all leaves; each votes as it was labelled
-    lift = np.maximum(centres - centres.mean(axis=0, keepdims=True), 0)
-    known = np.minimum(direct.sum(axis=1), 5)[:, None] / 5
-    leaf = (lift @ (known * vote**2)) + 1e-9
-    leaf /= leaf.sum(axis=1, keepdims=True)
-    flat = lift @ (known * vote)
-    flat = flat.max(axis=1) < FLAT * np.maximum(flat.sum(axis=1), 1e-9)
-    tagged = np.zeros_like(leaf)
-    for r in leaves.join(hand.join(share, "doc"), "doc").groupBy("leaf", "subject").agg(F.sum(1 / F.col("k")).alias("n")).collect():
+    hand = hand.join(hand.groupBy("doc").agg(F.count("*").alias("k")), "doc")  # a document with two labels counts half for each
+    n = vectors.count()
+    k = max(2, min(round(LEAVES * n ** (1 / 3)), n // LEAF))
+    tree = BisectingKMeans(k=k, maxIter=ROUNDS, seed=7, distanceMeasure="cosine", minDivisibleClusterSize=4.0).fit(vectors)
+    placed = stored(tree.transform(vectors).select("doc", F.col("prediction").alias("leaf"), "columns", "counts"), "p9-leaves")
+    each = placed.select("leaf", F.explode(F.arrays_zip("columns", "counts")).alias("x")).groupBy("leaf", F.col("x.columns").alias("c")).agg(F.sum("x.counts").alias("m")).toArrow()
+    leaf, c, m = (each.column(x).to_numpy() for x in ("leaf", "c", "m"))
+    k = int(leaf.max()) + 1
+    counts, tagged, held = np.zeros((k, size)), np.zeros((k, len(names))), np.zeros(k)
+    counts[leaf, c] = m
+    for r in placed.join(hand, "doc").groupBy("leaf", "subject").agg(F.sum(1 / F.col("k")).alias("n")).collect():
         tagged[r["leaf"], names.index(r["subject"])] = r["n"]
-    leaf = leaf + tagged
-    leaf /= leaf.sum(axis=1, keepdims=True)
-    # leaves about nothing in use: hardly any hand label where many are due, or terms that speak for everything alike
-    held = {r["leaf"]: r["n"] for r in leaves.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    due = np.array([held.get(i, 0) for i in range(len(centres))]) * (tagged.sum() / max(sum(held.values()), 1))
-    none = without_subject(tagged.sum(axis=1), due, flat)
-    leaf = np.hstack([leaf * np.where(none, 0.1, 0.98)[:, None], np.where(none, 0.9, 0.02)[:, None]])
-    direct = np.hstack([direct, np.zeros((size, 1))])
-
-    # a term's subjects, over all documents: those of the leaves it stands in; added up before anything is brought here
-    shares = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(leaf)], "leaf int, given array<double>")
-    spread = exploded.join(leaves, "doc").groupBy("c", "leaf").agg(F.sum("m").alias("m")).join(F.broadcast(shares), "leaf")  # LEAVES rows
-    term = direct.copy()
-    for r in spread.select("c", "m", F.posexplode("given").alias("s", "g")).groupBy("c", "s").agg(F.sum(F.col("m") * F.col("g")).alias("m")).collect():
-        term[r["c"], r["s"]] += r["m"]
-    for _ in range(REFINE):
-        term = _refined(bags, term) + direct
-    term /= np.maximum(term.sum(axis=0, keepdims=True), 1e-9)  # subjects are of unequal size
-    term /= np.maximum(term.sum(axis=1, keepdims=True), 1e-9)
-    order = np.sort(term, axis=1)
-    sure = (term.argmax(axis=1) < len(names)) & (order[:, -1] >= PURITY) & (order[:, -1] >= LEAD * order[:, -2])
-    speaks = spark.sparkContext.broadcast({k: (int(term[i].argmax()), float(term[i].max())) for k, (i, _) in column.items() if sure[i]})
+    for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        held[r["leaf"]] = r["n"]
+    if not tagged.any():
+        return spark.createDataFrame([], result)
+    votes = term_subjects(counts, leaf_subjects(counts, tagged, held * tagged.sum() / held.sum()))
+    shared = spark.sparkContext.broadcast((known, column, votes))
 
     def mixtures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, column, votes = shared.value
+        none = len(names)
         for batch in batches:
-            keep, found, shares = [], [], []
-            for r, sents in enumerate(batch.column(1).to_pylist()):
-                about: Counter = Counter()
-                for s in sents:
-                    votes: Counter = Counter()
-                    for t in s["terms"]:
-                        if got := speaks.value.get((s["lang"], t)):
-                            votes[got[0]] += got[1]
-                    if votes:
-                        about[max(votes, key=lambda k: (votes[k], -k))] += 1
-                for k, n in sorted(about.items()):
-                    if n >= min_share * len(sents) - 1e-9:
-                        keep.append(r)
-                        found.append(names[k])
-                        shares.append(n / len(sents))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(found, pa.string()), pa.array(shares, pa.float64())], names=[id_col, "subject", "share"])
-
-    return rows.mapInArrow(mixtures, T.StructType([T.StructField(id_col, rows.schema["doc"].dataType), T.StructField("subject", T.StringType()), T.StructField("share", T.DoubleType())]))
+            sizes = batch.column(1).flatten().to_numpy()
+            sents = batch.column(1).value_lengths().to_numpy()
+            c = columns_of(batch.column(2).flatten().to_numpy(), known, column)
+            of = np.repeat(np.arange(len(sizes)), sizes)[c >= 0]
+            said = np.zeros((len(sizes), none + 1))
+            np.add.at(said, of, votes[c[c >= 0]])
+            about = np.where(said.any(axis=1), said.argmax(axis=1), none)
+            d = np.repeat(np.arange(len(batch)), sents)
+            share = np.bincount(d * (none + 1) + about, minlength=len(batch) * (none + 1)).reshape(-1, none + 1)[:, :none] / np.maximum(sents, 1)[:, None]
+            doc, subject = np.nonzero((share > 0) & (share >= min_share - 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array([names[s] for s in subject], pa.string()), pa.array(share[doc, subject])], names=[id_col, "subject", "share"])
+
+    return rows.select("doc", "sizes", "terms").mapInArrow(mixtures, result)
