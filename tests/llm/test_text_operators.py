@@ -2,12 +2,14 @@
 
 import os
 import random
+import time
 import unicodedata as ud
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vellumetry.llm import bpe, canonical, language, leaks, repair, repeated_lines, sentences, subjects
 
@@ -136,29 +138,60 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated_lines(rows.limit(0), volumes).count() == 0
 
 
+def sequences_of(spark, docs, least):
+    """(doc, from, to, items, support) of the operator's occurrences; docs: (doc, unit, items)."""
+    items = spark.createDataFrame([(d, "s", u, n, x) for d, u, seq in docs for n, x in enumerate(seq)], "doc bigint, source string, unit string, line_no bigint, item string")
+    items = items.withColumn("item", F.struct(F.xxhash64("item").alias("x"), F.xxhash64(F.lit(2), "item").alias("y")))
+    thresholds = spark.createDataFrame([("s", float(least))], "source string, least double")
+    singles, base = repeated_lines.frequent_lines(items, thresholds)
+    rows = repeated_lines.frequent_sequences(items, singles, base, thresholds).collect()
+    of = {d: seq for d, _, seq in docs}
+    assert len({(r.pattern, tuple(of[r.doc][r.from_line : r.to_line + 1])) for r in rows}) == len({r.pattern for r in rows})
+    return {(r.doc, r.from_line, r.to_line, tuple(of[r.doc][r.from_line : r.to_line + 1]), r.support) for r in rows if r.length == r.to_line - r.from_line + 1}
+
+
+def sequences_by_brute_force(docs, least):
+    units = {}
+    for _, u, seq in docs:
+        for a in range(len(seq)):
+            for b in range(a + 1, len(seq) + 1):
+                units.setdefault(tuple(seq[a:b]), set()).add(u)
+    out = set()
+    for d, _, seq in docs:
+        reach = 0
+        for a in range(len(seq)):
+            b = max((b for b in range(a + 1, len(seq) + 1) if len(units[tuple(seq[a:b])]) >= least), default=0)
+            if b > reach:
+                out.add((d, a, b - 1, tuple(seq[a:b]), len(units[tuple(seq[a:b])])))
+                reach = b
+    return out
+
+
 def test_sequences_like_brute_force(spark):
     rng = random.Random(2)
-    docs = [(d, "s", f"u{d % 6}", [rng.choice("abcd") for _ in range(rng.randint(0, 5))]) for d in range(30)]
-    items = spark.createDataFrame([(d, s, u, n, x) for d, s, u, seq in docs for n, x in enumerate(seq)], "doc bigint, source string, unit string, line_no bigint, item string")
-    least = spark.createDataFrame([("s", 4.0)], "source string, least double")
-
-    def inside(p, seq):
-        it = iter(seq)
-        return all(x in it for x in p)
-
-    expected, level = {}, [()]
-    while level:
-        grown = []
-        for p in level:
-            for x in "abcd":
-                q = (*p, x)
-                n = len({u for _, _, u, seq in docs if inside(q, seq)})
-                if n >= 4:
-                    expected[q] = n
-                    grown.append(q)
-        level = grown
-    patterns, _ = repeated_lines.prefixspan(items, least)
-    assert {tuple(r.pattern): r.support for r in patterns.collect()} == expected
+    block = list("abcdefghijk")
+    docs = [(d, f"u{d % 6}", [rng.choice("abcd") for _ in range(rng.randint(0, 5))] + (block[rng.randint(0, 2) :] if d % 3 else [])) for d in range(30)]
+    assert sequences_of(spark, docs, 4) == sequences_by_brute_force(docs, 4)
+    assert sequences_of(spark, [(d, u, []) for d, u, _ in docs] + [(99, "u", ["a"])], 4) == set()
+
+
+def test_long_notices_end_soon(spark):
+    notice = [f"notice line {chr(97 + i // 10)}{i % 10}" for i in range(40)]
+    docs = [(d, f"u{d % 50}", [f"own {d}", *notice]) for d in range(1000)]
+    began = time.time()
+    got = sequences_of(spark, docs, 10)
+    assert got == {(d, 1, 40, tuple(notice), 50) for d in range(1000)}
+    assert time.time() - began < 60
+
+
+def test_repeated_sequences(spark):
+    volumes = spark.createDataFrame([("s", f"v{v}") for v in range(20)], "site_id string, volume_id string")
+    pair = "This is the first notice line\n\nThis is the second notice line"
+    rows = [(v, f"{pair}\nAn own line {'abcde'[v] * 9}" if v < 4 else "This is the second notice line", "s", f"v{v}") for v in range(5)] + [(9, None, "s", "v9")]
+    data = spark.createDataFrame(rows, "result_id bigint, text string, site_id string, volume_id string")
+    got = {(r.result_id, r.from_line, r.to_line, r.n_lines, r.support) for r in repeated_lines.repeated_sequences(data, volumes).collect()}
+    assert got == {(v, 0, 2, 2, 4) for v in range(4)} | {(4, 0, 0, 1, 5)}
+    assert repeated_lines.repeated_sequences(data.limit(0), volumes).count() == 0
 
 
 # ------------------------------------------------------------------ languages

@@ -9,7 +9,7 @@ from vellumetry.llm.bpe import encode
 from vellumetry.llm.canonical import same_look_pairs
 from vellumetry.llm.language import identify, labels_of, train
 from vellumetry.llm.leaks import leaks
-from vellumetry.llm.repeated_lines import repeated_lines, without_lines
+from vellumetry.llm.repeated_lines import repeated_lines, repeated_sequences, without_lines
 from vellumetry.llm.repair import damage, repaired, titles
 from vellumetry.llm.sentences import split_sentences
 from vellumetry.llm.subjects import assign_subjects
@@ -25,6 +25,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(texts, table(spark, sf_dir, "scan_volumes"))
 
 
+def p2_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of repeated lines, each with its support, in every body result."""
+    texts = body_results(spark, sf_dir, "text", "site_id", "volume_id")
+    return repeated_sequences(texts, table(spark, sf_dir, "scan_volumes"))
+
+
 def p4_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every body result with its languages: all stretches, with confidence and the label it came with."""
     texts = body_results(spark, sf_dir, "text", "site_id", "volume_id", "ocr_language")
@@ -74,5 +80,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "subject").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sequences": p2_sequences, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}

@@ -2,10 +2,16 @@
 
 Method: distributed PrefixSpan. Each text is a sequence of line identifiers (128-bit digests of the
 line with case, digits, spacing, punctuation and look-alikes set aside). Level 1 counts, per site, the
-volumes each line is found in; the frequent lines' positions form the projected database. Every
-further level extends each prefix by the lines after its leftmost end, so the suffixes are only
-pointed at, never copied. Support is the number of distinct volumes. Occurrences of the lines of
-frequent sequences, single lines included, are reported and can be deleted.
+volumes each line is found in; the frequent lines' positions form the projected database. Longer
+sequences are grown from it: a prefix is extended by the frequent sequence that begins where it ends,
+as long again at first and then by halves, so the longest frequent sequence from every place takes two
+rounds for each doubling of its length, however many sub-sequences it has. Sequences are of lines that
+follow each other, blank and short ones between them not counted. Suffixes are only pointed at, never
+copied, and a place is one row at every level, so nothing grows from level to level. Support is the
+number of distinct volumes.
+
+A line of a frequent sequence is frequent itself, so the lines to delete are known after level 1;
+repeated_sequences() tells in which sequences they stand.
 
 All counts are pre-aggregated before the shuffle and keyed by site *and* line (and volume), so a site
 that holds a third of the rows is spread over all tasks.
@@ -17,7 +23,7 @@ import unicodedata as ud
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumetry.llm.canonical import canonical
@@ -82,37 +88,97 @@ def _frequent(found: DataFrame, by: str, least: DataFrame, floor: int) -> DataFr
     return support.where(F.col("support") >= floor).join(least, "source").where("support >= least").select("source", by, "support")
 
 
-def prefixspan(items: DataFrame, least: DataFrame, max_length: int | None = None, floor: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Frequent sequences of items per source, and the projected database of frequent items.
+def frequent_lines(items: DataFrame, least: DataFrame, floor: int = 1) -> tuple[DataFrame, DataFrame]:
+    """PrefixSpan's level 1: (source, item, support) of the frequent items, and the projected database, the rows of items they are in.
 
     items: (doc, source, unit, line_no, item); least: (source, least), the support each source asks for.
-    Patterns: (source, pattern ARRAY, support); the items of a pattern stand in this order in one doc,
-    gaps allowed. Each level's table is written to the shared folder, so lost executors cost no lineage.
     """
     singles = stored(_frequent(items, "item", least, floor), "p2-level1")
-    base = stored(items.join(singles.select("source", "item"), ["source", "item"], "left_semi"), "p2-projected")
-    levels = [singles.select("source", F.array("item").alias("pattern"), "support")]
-    ends = base.groupBy("source", "unit", "doc", F.array("item").alias("pattern")).agg(F.min("line_no").alias("end"))
+    return singles, stored(items.join(singles.select("source", "item"), ["source", "item"], "left_semi"), "p2-projected")
+
+
+def frequent_sequences(items: DataFrame, singles: DataFrame, base: DataFrame, least: DataFrame, floor: int = 1) -> DataFrame:
+    """(source, doc, unit, from_line, to_line, length, pattern, support): the longest frequent sequence from each place it isn't a part of a longer one.
+
+    items: all lines that count; singles and base: level 1, see frequent_lines(). pattern is the
+    sequence's digest. Rows that are in items twice (same doc and line) count once.
+    """
+    order = Window.partitionBy("doc").orderBy("line_no")  # one text's lines
+    numbered = items.select("doc", "line_no").distinct().withColumn("n", F.row_number().over(order))
+    first = base.select("doc", "line_no", "source", "unit", "item").distinct().join(singles, ["source", "item"]).join(numbered, ["doc", "line_no"])
+    first = first.select("doc", "n", "line_no", "source", "unit", F.col("item").alias("pattern"), "support")
+    levels = [stored(first, "p2-sequences1")]
+
+    def grown(prefixes: DataFrame, by: DataFrame, name: str) -> DataFrame:
+        """(doc, n, next, sup): prefixes, made longer by the sequences of by, where the sum of both is frequent."""
+        follow = by.select(F.col("doc").alias("_doc"), F.col("n").alias("_at"), F.col("pattern").alias("_more"))
+        digest = F.struct(F.xxhash64(F.lit(1), "pattern", "_more").alias("x"), F.xxhash64(F.lit(2), "pattern", "_more").alias("y"))
+        met = prefixes.join(follow, (F.col("doc") == F.col("_doc")) & (F.col("n") + F.col("length") == F.col("_at")))
+        sums = stored(met.select("doc", "n", "source", "unit", digest.alias("next")), f"p2-sums{name}")
+        return sums.join(_frequent(sums, "next", least, floor), ["source", "next"]).select("doc", "n", "next", F.col("support").alias("sup"))
+
+    # upward: sequences of 2, 4, 8 lines
     length = 1
-    later = base.select("source", "doc", F.col("line_no").alias("next"), "item").distinct()
-    while max_length is None or length < max_length:
-        grown = (
-            ends.join(later, ["source", "doc"])
-            .where("next > end")
-            .groupBy("source", "unit", "doc", F.concat("pattern", F.array("item")).alias("pattern"))
-            .agg(F.min("next").alias("end"))
-        )
-        length += 1
-        grown = stored(grown, f"p2-grown{length}")
-        level = stored(_frequent(grown, "pattern", least, floor), f"p2-level{length}")
-        if level.isEmpty():
+    while True:
+        last = levels[-1].withColumn("length", F.lit(length))
+        found = grown(last, last, f"-up{length}")
+        longer = last.join(found, ["doc", "n"]).select("doc", "n", "line_no", "source", "unit", F.col("next").alias("pattern"), F.col("sup").alias("support"))
+        longer = stored(longer, f"p2-sequences{2 * length}")
+        if longer.isEmpty():
             break
-        levels.append(level)
-        ends = grown.join(level.select("source", "pattern"), ["source", "pattern"], "left_semi")
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out, base
+        levels.append(longer)
+        length *= 2
+    # downward: from the longest of these at each place on, by halves; so a sequence has one digest, whatever it is grown from
+    best = levels[0].withColumn("length", F.lit(1))
+    for k in range(len(levels) - 1, -1, -1):
+        step = 1 << k
+        if k:
+            start = levels[k].select("doc", "n", F.col("pattern").alias("next"), F.col("support").alias("sup"))
+            take = (F.col("length") == 1) & F.col("next").isNotNull()
+            best = best.join(start, ["doc", "n"], "left").select(
+                "doc", "n", "line_no", "source", "unit", *(F.when(take, F.col(new)).otherwise(F.col(old)).alias(old) for old, new in (("pattern", "next"), ("support", "sup"))), F.when(take, step).otherwise(F.col("length")).alias("length")
+            )
+        more = grown(best.where(F.col("length") > step), levels[k], f"-down{step}")
+        best = best.join(more, ["doc", "n"], "left").select(
+            "doc", "n", "line_no", "source", "unit", F.coalesce("next", "pattern").alias("pattern"), F.coalesce("sup", "support").alias("support"), F.when(F.col("next").isNotNull(), F.col("length") + step).otherwise(F.col("length")).alias("length")
+        )
+        best = stored(best, f"p2-best{step}")
+    reach = F.max(F.col("n") + F.col("length")).over(Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    whole = best.withColumn("_reach", reach).where("_reach is null or n + length > _reach").withColumn("_last", F.col("n") + F.col("length") - 1)
+    last_line = numbered.select("doc", F.col("n").alias("_last"), F.col("line_no").alias("to_line"))
+    return whole.join(last_line, ["doc", "_last"]).select("source", "doc", "unit", F.col("line_no").alias("from_line"), "to_line", "length", "pattern", "support")
+
+
+def thresholds(volumes: DataFrame, source_col: str, unit_col: str, min_volumes: int, min_share: float) -> DataFrame:
+    """(source, least): the support each source asks for, by all units it has."""
+    units = volumes.select(F.col(source_col).cast("string").alias("source"), F.col(unit_col).alias("unit")).where("source is not null and unit is not null").distinct()
+    sized = units.groupBy("source").agg(F.count("*").alias("n"))
+    return sized.select("source", F.greatest(F.lit(min_volumes).cast("double"), F.col("n") * F.lit(min_share) - 1e-9).alias("least"))
+
+
+def repeated_sequences(
+    texts: DataFrame,
+    volumes: DataFrame,
+    id_col: str = "result_id",
+    text_col: str = "text",
+    source_col: str = "site_id",
+    unit_col: str = "volume_id",
+    min_volumes: int = MIN_VOLUMES,
+    min_share: float = MIN_SHARE,
+    min_letters: int = MIN_LETTERS,
+) -> DataFrame:
+    """Each occurrence of a sequence of lines repeated excessively: ({id_col}, from_line, to_line, n_lines, sequence, support).
+
+    The longest from each place, single lines included; sequence is a name for it within its site,
+    support the volumes it is found in. Every line of repeated_lines() is in one of them.
+    """
+    least = thresholds(volumes, source_col, unit_col, min_volumes, min_share)
+    items = stored(line_items(texts, id_col, text_col, source_col, unit_col, min_letters), "p2-items")
+    singles, base = frequent_lines(items, least, min_volumes)
+    kept = items.join(base.select("doc").distinct(), "doc", "left_semi")  # texts without a frequent line have no sequence
+    found = frequent_sequences(kept, singles, base, least, min_volumes)
+    name = F.concat(F.hex("pattern.x"), F.hex("pattern.y"))
+    return found.select(F.col("doc").alias(id_col), "from_line", "to_line", F.col("length").cast("bigint").alias("n_lines"), name.alias("sequence"), "support").distinct()
 
 
 def repeated_lines(
@@ -131,19 +197,10 @@ def repeated_lines(
     volumes has a row for each (source, unit) there is, with or without texts; the share is of these.
     Lines count from 0, blank ones too. Empty inputs give an empty result.
     """
-    least = (
-        volumes.select(F.col(source_col).cast("string").alias("source"), F.col(unit_col).alias("unit"))
-        .where("source is not null and unit is not null")
-        .distinct()
-        .groupBy("source")
-        .agg(F.count("*").alias("n"))
-        .select("source", F.greatest(F.lit(min_volumes).cast("double"), F.col("n") * F.lit(min_share) - 1e-9).alias("least"))
-    )
+    least = thresholds(volumes, source_col, unit_col, min_volumes, min_share)
     items = stored(line_items(texts, id_col, text_col, source_col, unit_col, min_letters), "p2-items")
-    patterns, base = prefixspan(items, least, floor=min_volumes)
-    lines = patterns.select("source", F.explode("pattern").alias("item")).distinct()
-    found = base.join(lines, ["source", "item"], "left_semi")
-    return found.select(F.col("doc").alias(id_col), "line_no").distinct()
+    _, base = frequent_lines(items, least, min_volumes)
+    return base.select(F.col("doc").alias(id_col), "line_no").distinct()
 
 
 def without_lines(texts: DataFrame, found: DataFrame, id_col: str = "result_id", text_col: str = "text") -> DataFrame:
