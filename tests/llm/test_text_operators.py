@@ -248,6 +248,9 @@ def test_candidates_are_complete():
 def test_furniture_and_broken_words():
     lines = ["THE M0DEST JOURNAL OF ARDBY l63", "— 39 —", "[ 12 ]", "B 3", "CHAPTER THE SECOND.", "* * *", "a common line of text here", "1,234.5 crowns", "", "xxiv.", "civil", "ill"]
     assert repair.furniture(lines, "THE MODEST JOURNAL OF ARDBY") == [True, True, True, True, False, False, False, False, False, True, False, False]
+    assert repair.furniture(["I", "", "IV.", "", "vi", "text", "[ xi ]", "xii"], None) == [False, False, False, False, False, False, True, True]
+    assert repair.furniture(["a", "", "iv.", "", "b"], None) == [False] * 5  # a chapter's number
+    assert repair.furniture(["12 LEFT TITLE OF IT", "RIGHT TITLE OF THIS 13"], "LEFT TITLE OF IT\nRIGHT TITLE OF THIS") == [True, True]
     t = repair.Text("It was recom-\n12\nmended by a well-\nbuilt man of Orn­\nby. Rechen- server", "T")
     assert [(n, a + b) for n, _, a, b, _ in t.broken] == [(0, "recommended"), (2, "wellbuilt"), (3, "Ornby"), (4, "Rechenserver")]
 
