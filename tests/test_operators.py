@@ -13,7 +13,7 @@ from vellumetry.functions import raster, strings
 from vellumetry.operators import compile as compiling
 from vellumetry.operators import edits, merge, regions, split, template, text
 from vellumetry.operators.nested import children_with_parents, flat_tables, nodes, nodes_of
-from vellumetry.plans import detect
+from vellumetry.plans import detect, importing
 from vellumetry.sources import images, projects
 
 BOX = "page_id bigint, slot bigint, rtype string, confidence double, source string, col_no int, x double, y double, w double, h double"
@@ -115,17 +115,87 @@ def test_pipeline_from_an_image(spark, tmp_path):
     (tmp_path / "bad.png").write_bytes(b"no image")
     read = images.read_images(spark, str(tmp_path))
     assert {r.path.rsplit("/", 1)[-1]: r.error for r in read.select("path", "error").collect()} == {"a.png": None, "bad.png": "cannot read image"}
-    found = detect.candidate_boxes(read).withColumn("page_id", F.lit(1).cast("bigint"))
+    found = detect.candidate_boxes(read, denoised=False).withColumn("page_id", F.lit(1).cast("bigint"))
     got = detect.detect(found).collect()
     assert got and max(r.h for r in got) > 0.3 and {r.rtype for r in got} <= {"body", "header", "pagenum", "unknown"}
-    halves = images.crops(read, read.select("path", F.lit(200).alias("spine_x"), F.lit(False).alias("is_single")))
-    assert {(r.name, r.width) for r in halves.select("name", "width").collect()} == {("a_left", 200), ("a_right", 220)}
+
+
+def scans(tmp_path):
+    """A spread with a dark spine, a single page, and a file that is no image."""
+    src = tmp_path / "scans"
+    src.mkdir()
+    spread = np.full((200, 400, 3), 230, np.uint8)
+    spread[:, 214:226] = 10
+    spread[40:60, 40:160] = 0
+    (src / "b.png").write_bytes(images.png(spread))
+    (src / "a.png").write_bytes(images.png(np.full((300, 200, 3), 240, np.uint8)))
+    (src / "c.png").write_bytes(b"no image")
+    return src
+
+
+def test_import_of_scans(spark, tmp_path):
+    read = images.read_images(spark, str(scans(tmp_path)))
+    out = str(tmp_path / "pages")
+    got = {r.path.rsplit("/", 1)[-1]: r for r in importing.imported(read, out).collect()}
+    assert got["c.png"].error == "cannot read image" and got["c.png"].left_path is None
+    a, b = got["a.png"], got["b.png"]
+    assert (a.is_single, a.method, a.spine_x, a.right_path) == (True, "single", 200, None) and a.left_path.endswith("_single.png")
+    assert (b.is_single, b.method, b.image_w, b.image_h, b.error) == (False, "detected", 400, 200, None)
+    spines = {r.id: (r.spine_x, r.method) for r in split.spines(split.profile_rows(importing.profiles(read), "path", "profile")).collect()}
+    assert spines[b.path] == (b.spine_x, b.method)
+    sizes = {r.path.rsplit("_", 1)[-1]: r.width for r in images.read_images(spark, out).collect()}
+    assert sizes == {"single.png": 200, "left.png": b.spine_x, "right.png": 400 - b.spine_x}
+    rows = importing.spread_rows(importing.imported(read)).orderBy("pos").collect()
+    assert [(r.pos, r.original_path.rsplit("/", 1)[-1], r.split_method) for r in rows] == [(0, "a.png", "single"), (1, "b.png", "detected")] and len({r.volume_id for r in rows}) == 1
+    assert importing.imported(read.limit(0)).count() == 0
+
+
+def test_recogniser_gets_prepared_crops(spark, tmp_path):
+    read = images.read_images(spark, str(scans(tmp_path)))
+    paths = {r.path.rsplit("/", 1)[-1]: r.path for r in read.select("path").collect()}
+    rows = [(paths["b.png"], "x", "body", 0.05, 0.15, 0.4, 0.2, 400, 200), (paths["b.png"], "tiny", "body", 0.0, 0.0, 0.01, 0.01, 400, 200), (paths["c.png"], "bad", "body", 0.0, 0.0, 0.5, 0.5, 400, 200)]
+    found = spark.createDataFrame(rows, "path string, region_id string, rtype string, x double, y double, w double, h double, image_w int, image_h int")
+    crops = {r.region_id: r for r in importing.prepared_crops(read, found.drop("image_w", "image_h")).collect()}
+    assert set(crops) == {"x", "bad"} and crops["x"].crop[:4] == b"\x89PNG" and crops["x"].crop_w > 300 and crops["x"].crop_h > 90
+    words = lambda asked: asked.where("crop is not null").select("region_id", F.lit(0).alias("idx"), F.lit("w").alias("word"), F.lit(90.0).alias("conf"), *(F.lit(1).alias(c) for c in ("block", "par", "line")))
+    got = {r.region_id: (r.text, r.skipped) for r in detect.recognise(found, words, images=read).collect()}
+    assert got == {"x": ("w", False), "tiny": ("", True), "bad": ("", False)}
+
+
+def test_uploads_and_data_urls(spark, tmp_path):
+    src = scans(tmp_path)
+    urls = {r.path.rsplit("/", 1)[-1]: r.url for r in images.data_urls(spark, str(src)).collect()}
+    assert urls["a.png"].startswith("data:image/png;base64,iVBOR") and len(urls) == 3
+    query = images.landing(spark, str(src)).select("path", "length").writeStream.format("memory").queryName("uploads").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert spark.sql("select count(*) n from uploads").collect()[0].n == 3
+
+
+def test_order_after_headers_are_demoted(spark):
+    # two columns; what looks like a header stands below the first body, in the right column
+    px = [(1, 1, 50, 100, 400, 300, 0.5), (1, 2, 50, 430, 400, 500, 0.5), (1, 3, 550, 150, 300, 60, 0.5), (1, 4, 550, 330, 400, 600, 0.5)]
+    data = spark.createDataFrame([(*p[:6], 0, 0, 1000, 1000, 1000, 1000, 100.0, p[6], 0.5) for p in px], "page_id bigint, slot bigint, bx int, by int, bw int, bh int, px int, py int, page_w int, page_h int, crop_w int, crop_h int, sharp double, td double, gutter double")
+    got = [(r.slot, r.rtype, r.col_no) for r in detect.detect(data, preserve_lines=True).orderBy("ord").collect()]
+    assert got == [(1, "body", 1), (2, "body", 1), (3, "body", 2), (4, "body", 2)]
+    due = boxes(spark, [box(1, 0.55, 0.95, 0.4, 0.03, sure=0.8)])
+    blended = detect.detect(data, due, preserve_lines=True).orderBy("ord").collect()
+    assert [(r.slot, r.col_no, r.source) for r in blended][-1] == (5, 2, "template")
+
+
+def test_crops_at_the_edge_and_options(spark):
+    rows = [("a", "body", 0.002, 0.0, 0.012, 0.5, 1000, 1000), ("b", "pagenum", 0.99, 0.99, 0.02, 0.02, 1000, 1000), ("c", "body", 0.5, 0.5, 0.011, 0.5, 1000, 1000)]
+    found = spark.createDataFrame(rows, "region_id string, rtype string, x double, y double, w double, h double, image_w int, image_h int")
+    got = {r.region_id: (r.crop_x1, r.crop_x2, r.crop_y1, r.crop_y2, r.skip, r.scale) for r in text.crop_boxes(found).collect()}
+    # the corner moves into the image, the size stays
+    assert got == {"a": (0, 20, 0, 508, False, 1.5), "b": (982, 1000, 982, 1000, True, 3.0), "c": (496, 515, 496, 1000, True, 1.5)}
+    kinds = spark.createDataFrame([("body",), ("table",), ("unknown",), ("pagenum",)], "t string")
+    assert [r[0].split()[3] for r in kinds.select(text.recogniser_options(F.col("t"), F.lit("eng"))).collect()] == ["6", "3", "3", "6"]
 
 
 def test_raster_kernels():
     g = np.zeros((120, 200))
     g[20:100, 30:170] = 200
-    assert raster.border_box(g) == (33, 23, 134, 74) or raster.border_box(g)[2] > 120
+    assert raster.border_box(g) == (33, 23, 134, 74)
     assert raster.border_box(np.zeros((10, 12))) == (0, 0, 12, 10)
     bound = np.full((50, 100), 200.0)
     bound[:, :6] = 20
@@ -133,6 +203,23 @@ def test_raster_kernels():
     mask = np.zeros((8, 10), bool)
     mask[1:3, 1:3] = mask[3, 3] = mask[6, 7:9] = True
     assert raster.components(mask) == [(1, 1, 3, 3), (7, 6, 2, 1)]
+    both = np.full((50, 100), 200.0)
+    both[:, :6] = both[:, 95:] = 20
+    assert raster.binding_trim(both) == (6, 5)
+    ring = np.zeros((9, 12), bool)
+    ring[1:8, 1:8] = True
+    ring[2:7, 2:7] = False
+    ring[4, 4] = ring[0, 11] = True
+    assert raster.components(ring) == [(11, 0, 1, 1), (1, 1, 7, 7)]  # what lies in a hole is left out
+    assert raster.components(np.ones((3, 4), bool)) == [(0, 0, 4, 3)] and raster.components(np.zeros((3, 4), bool)) == []
+    rng = np.random.default_rng(1)
+    noisy = np.clip(200 + rng.normal(0, 8, (40, 50)), 0, 255)
+    assert raster.denoise(noisy).std() < noisy.std() / 2 and np.allclose(raster.box_mean(noisy, 7)[10, 10], noisy[7:14, 7:14].mean())
+    assert raster.two_columns(np.zeros(60), np.zeros((20, 60), np.uint8)) is None
+    columns = np.zeros((100, 400), np.uint8)
+    columns[:, 20:180] = columns[:, 220:380] = 1
+    assert 180 <= raster.two_columns(columns.sum(axis=0).astype(float), columns) < 220
+    assert raster.joining_kernels(columns)[0] == 19 and raster.spine(np.full(50, 9.0)) == (25, "centre")
     assert raster.sharpness(np.full((9, 9), 7.0)) == 0
     assert raster.enlarged(np.full((4, 5), 9.0), 2.0).shape == (8, 10)
     assert set(np.unique(raster.prepared(np.full((30, 40, 3), 200, np.uint8), 1.5))) <= {0, 255}
@@ -193,6 +280,8 @@ def test_words_to_text(spark):
     words = spark.createDataFrame(rows, "region_id string, idx int, word string, conf double, block int, par int, line int")
     flat = text.assembled(words).collect()
     assert [(r.region_id, r.text, r.confidence, r.word_count) for r in flat] == [("r", "a b\u00a0 c d", 0.75, 4)]
+    late = spark.createDataFrame([("r", 0, "a", 90.0, 1, 1, 1), ("r", 1, "c", 90.0, 1, 1, 2), ("r", 2, "b\u00a0d", 90.0, 1, 1, 1)], words.schema)
+    assert [(r.text, r.word_count) for r in text.assembled(late).collect()] == [("a b\u00a0d c", 4)]  # by lines, as they first appear
     assert text.assembled(words, newlines=True).collect()[0].text == "a b\u00a0\nc\n\nd"
 
 
@@ -211,7 +300,7 @@ def test_compiled_pages_and_volumes(spark):
     pages = spark.createDataFrame([("v", 0, None, "x"), ("v", 1, "", None), ("v", 2, "L", None)], "volume_id string, pos int, label string, text string")
     out = compiling.volumes(pages, F.lit("2024-05-06 07:08:00").cast("timestamp")).collect()[0]
     rule = "\n\n" + "─" * 60 + "\n"
-    assert out.text == "Compiled Output\nGenerated: 2024-05-06 07:08\nPages: 3\n" + "═" * 60 + "\n\n[Page 1]\n\nx" + rule + "\n[L]\n\n" + rule
+    assert out.text == "Compiled Output\nGenerated: 2024-05-06 07:08\nPages: 3\n" + "═" * 60 + "\n\n[Page 1]\n\nx" + rule + "\n[L]\n" + rule
     assert out.n_pages == 3 and out.char_count == len(out.text)
 
 
@@ -329,7 +418,8 @@ def test_projects_round_trip(spark, tmp_path):
 
 def test_new_project_and_output(spark, tmp_path):
     some = spark.createDataFrame([("x", "A")], "id string, name string")
-    got = projects.new_projects(some, "B").collect()
+    got = projects.new_projects(some, "B", "2024-01-01").collect()
+    assert got[1].id != projects.new_projects(some, "B", "2024-01-02").collect()[1].id
     assert [r.name for r in got] == ["A", "B"] and len(got[1].id) == 8
     assert (tmp_path / "output").exists() is False and projects.output_dir(spark, str(tmp_path)).endswith("output") and (tmp_path / "output").is_dir()
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from vellumetry.operators.model import SPLIT, Split
+
 
 def grey(image: np.ndarray) -> np.ndarray:
     if image.ndim == 2:
@@ -40,7 +42,17 @@ def blur(a: np.ndarray, block: int) -> np.ndarray:
     k = np.exp(-(x**2) / (2 * sigma**2))
     k /= k.sum()
     for axis in (0, 1):
-        a = np.apply_along_axis(lambda v: np.convolve(v, k, "valid"), axis, _padded(a, block, axis, "reflect" if a.shape[axis] > block else "edge"))
+        n = a.shape[axis]
+        p = _padded(a, block, axis, "reflect" if n > block else "edge")
+        a = sum(w * (p[i : i + n] if axis == 0 else p[:, i : i + n]) for i, w in enumerate(k))
+    return a
+
+
+def box_mean(a: np.ndarray, k: int) -> np.ndarray:
+    """The mean of the k x k pixels around each, by running sums."""
+    for axis in (0, 1):
+        c = np.cumsum(np.insert(_padded(a, k, axis), 0, 0, axis=axis), axis=axis)
+        a = (c[k:] - c[:-k] if axis == 0 else c[:, k:] - c[:, :-k]) / k
     return a
 
 
@@ -52,6 +64,18 @@ def column_brightness(image: np.ndarray) -> np.ndarray:
     return grey(image).mean(axis=0)
 
 
+def spine(profile: np.ndarray, p: Split = SPLIT) -> tuple[int, str]:
+    """(place, detected or centre) of the spine in a brightness profile; the same as operators.split.spines."""
+    n = len(profile)
+    if not n:
+        raise ValueError("an image without columns")
+    s = smooth(profile.astype(float), p.smoothing)[:n]
+    lo, hi = int(n * p.band[0]), int(n * p.band[1])
+    deep = hi > lo and (s.mean() - s[lo:hi].min()) / (s.mean() + 1e-6) >= p.contrast
+    at = lo + int(np.round(s[lo:hi], 9).argmin()) if deep else n // 2
+    return max(int(n * p.clamp[0]), min(int(n * p.clamp[1]), at)), "detected" if deep else "centre"
+
+
 def border_box(g: np.ndarray, bright: int = 50, kernel: int = 15, grow: int = 4) -> tuple[int, int, int, int]:
     """(x, y, w, h) of the page inside a dark border; the whole image if nothing is bright."""
     inner = erode((g > bright).astype(np.uint8), kernel, kernel)
@@ -64,31 +88,31 @@ def border_box(g: np.ndarray, bright: int = 50, kernel: int = 15, grow: int = 4)
 
 
 def binding_trim(g: np.ndarray) -> tuple[int, int]:
-    """Columns to take off at the left and right: a dark binding in the outer fifth that the page recovers from."""
-    profile = g.mean(axis=0)
-    n = len(profile)
-    middle = profile[n // 4 : n * 3 // 4].mean() if n >= 4 else profile.mean()
+    """Columns to take off at the left and right: a dark binding in the outer fifth that the page recovers from. The right is measured on what the left has left."""
 
     def side(p: np.ndarray) -> int:
+        n = len(p)
+        middle = p[n // 4 : n * 3 // 4].mean() if n >= 4 else p.mean()
         dark = np.flatnonzero(p[: n // 5] < 0.75 * middle)
         if not len(dark):
             return 0
         after = np.flatnonzero(p[dark[0] : n // 5] >= 0.90 * middle)
         return int(dark[0] + after[0]) if len(after) else 0
 
-    return side(profile), side(profile[::-1])
+    profile = g.mean(axis=0)
+    left = side(profile)
+    return left, side(profile[left:][::-1])
 
 
 def denoise(g: np.ndarray, h: float = 10, template: int = 7, search: int = 21) -> np.ndarray:
-    """Non-local means by box filters over every shift; costly, so callers may leave it out."""
+    """Non-local means: every shift within the search window, weighted by how alike the surroundings are."""
     r = search // 2
     padded = np.pad(g, r, mode="reflect" if min(g.shape) > r else "edge")
     total, weights = np.zeros_like(g), np.zeros_like(g)
     for dy in range(-r, r + 1):
         for dx in range(-r, r + 1):
             shifted = padded[r + dy : r + dy + g.shape[0], r + dx : r + dx + g.shape[1]]
-            d = _sliding(_sliding((g - shifted) ** 2, template, 1, np.mean), template, 0, np.mean)
-            w = np.exp(-np.maximum(d - 2 * 1.0, 0) / (h * h))
+            w = np.exp(-np.maximum(box_mean((g - shifted) ** 2, template) - 2 * 1.0, 0) / (h * h))
             total += w * shifted
             weights += w
     return total / weights
@@ -114,17 +138,18 @@ def joining_kernels(binary: np.ndarray) -> tuple[int, int]:
     at = lo + int(profile[lo:hi].argmin()) if hi > lo else width // 2
     low = 0.30 * profile.mean()
     left = right = at
-    while left > 0 and profile[left - 1] < low:
+    # the gutter reaches to the first columns that aren't empty
+    while left > 0 and profile[left] < low:
         left -= 1
-    while right < width - 1 and profile[right + 1] < low:
+    while right < width - 1 and profile[right] < low:
         right += 1
-    return max(7, min(55, ((right - left) // 2) | 1)), max(8, int(0.018 * height) | 1)
+    return max(7, min(55, (max(right - left, 1) // 2) | 1)), max(8, int(0.018 * height) | 1)
 
 
-def components(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(x, y, w, h) of each 8-connected component, by runs of rows and union-find, in order of y and x."""
+def _runs(mask: np.ndarray, reach: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """(row, start, end) of all runs, and the root of each one's component; reach 1 joins runs that meet at corners too."""
+    runs: list[tuple[int, int, int]] = []
     parent: list[int] = []
-    boxes: list[list[int]] = []
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -132,25 +157,42 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
             i = parent[i]
         return i
 
-    above: list[tuple[int, int, int]] = []
-    for y, row in enumerate(mask.astype(bool)):
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], row.view(np.int8), [0]))))
+    above: list[int] = []
+    for y, row in enumerate(mask):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], row.view(np.int8), [0])))).tolist()
         here = []
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
             k = len(parent)
             parent.append(k)
-            boxes.append([a, y, b, y + 1])
-            for pa, pb, pk in above:
-                if pa <= b and pb >= a:
-                    i, j = sorted((find(k), find(pk)))
-                    if i != j:
-                        parent[j] = i
-                        p, q = boxes[i], boxes[j]
-                        boxes[i] = [min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3])]
-            here.append((a, b, k))
+            runs.append((y, a, b))
+            for i in above:
+                if runs[i][1] < b + reach and runs[i][2] > a - reach:
+                    low, high = sorted((find(i), find(k)))
+                    parent[high] = low
+            here.append(k)
         above = here
-    roots = {find(k) for k in range(len(parent))}
-    return sorted(((x1, y1, x2 - x1, y2 - y1) for x1, y1, x2, y2 in (boxes[r] for r in roots)), key=lambda b: (b[1], b[0]))
+    return runs, [find(k) for k in range(len(parent))]
+
+
+def components(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(x, y, w, h) of each outermost 8-connected component, in order of y and x. What lies in a hole of another one is left out."""
+    ink_ = np.pad(mask.astype(bool), 1)
+    paper, paper_roots = _runs(~ink_, 0)
+    outside = np.zeros(ink_.shape, bool)
+    for (y, a, b), root in zip(paper, paper_roots, strict=True):
+        outside[y, a:b] = root == paper_roots[0]  # of the first run, at the upper left
+    touching = np.zeros(ink_.shape, bool)
+    touching[1:], touching[:-1] = outside[:-1], touching[:-1] | outside[1:]
+    touching[:, 1:] |= outside[:, :-1]
+    touching[:, :-1] |= outside[:, 1:]
+    boxes: dict[int, list[int]] = {}
+    outer: set[int] = set()
+    for (y, a, b), root in zip(*_runs(ink_, 1), strict=True):
+        p = boxes.setdefault(root, [a, y, b, y + 1])
+        boxes[root] = [min(p[0], a), min(p[1], y), max(p[2], b), max(p[3], y + 1)]
+        if touching[y, a:b].any():
+            outer.add(root)
+    return sorted(((x1 - 1, y1 - 1, x2 - x1, y2 - y1) for root, (x1, y1, x2, y2) in boxes.items() if root in outer), key=lambda b: (b[1], b[0]))
 
 
 def sharpness(g: np.ndarray) -> float:
@@ -159,7 +201,7 @@ def sharpness(g: np.ndarray) -> float:
     return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var())
 
 
-def candidates(image: np.ndarray, denoised: bool = False) -> list[dict]:
+def candidates(image: np.ndarray, denoised: bool = True) -> list[dict]:
     """Candidate boxes of a page image: pixels in the crop, the crop's place, sharpness and ink density."""
     g = grey(image)
     height, width = g.shape
@@ -190,9 +232,9 @@ def two_columns(profile: np.ndarray, binary: np.ndarray) -> int | None:
     if hi <= lo:
         return None
     at = lo + int(smoothed[lo:hi].argmin())
-    if smoothed[at] > 0.65 * smoothed[lo:hi].mean():
+    if not smoothed[lo:hi].any() or smoothed[at] > 0.65 * smoothed[lo:hi].mean():
         return None
-    half = max(1, width // 60)
+    half = max(2, int(0.02 * width))
     rows = binary.sum(axis=1).astype(float)
     gap = binary[:, max(0, at - half) : at + half].sum(axis=1).astype(float)
     return at if (gap < 0.10 * rows).sum() >= 0.40 * binary.shape[0] else None
@@ -226,7 +268,7 @@ def binarised(g: np.ndarray) -> np.ndarray:
     return np.where(g > blur(g, block) - 12, 255, 0).astype(np.uint8)
 
 
-def prepared(crop: np.ndarray, scale: float, denoised: bool = False) -> np.ndarray:
+def prepared(crop: np.ndarray, scale: float, denoised: bool = True) -> np.ndarray:
     """A crop as the recogniser gets it."""
     g = enlarged(evened(crop), scale)
     return binarised(denoise(g) if denoised else g)

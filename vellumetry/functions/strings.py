@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from vellumetry.operators.model import MEDIA_TYPES
 
 
+#: White space of any kind, the separators of ASCII too.
+SPACES = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\p{Z}]+"
+
+
 def basename(path: Column) -> Column:
     """What follows the last slash or backslash; null stays null."""
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
@@ -47,8 +51,14 @@ def percent(share: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Words between white space; 0 for null and blank texts."""
-    return F.coalesce(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), F.lit(0)).cast("bigint")
+    """Words between white space of any kind; 0 for null and blank texts."""
+    return F.coalesce(F.size(F.filter(F.split(text, SPACES), lambda w: w != "")), F.lit(0)).cast("bigint")
+
+
+def percent_box(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """A box in whole percent, as the list of regions shows it."""
+    part = lambda share: F.concat(percent(share).cast("string"), F.lit("%"))
+    return F.concat(part(x), F.lit(","), part(y), F.lit(" "), part(w), F.lit("×"), part(h))
 
 
 def confidence_band(share: Column, high: float = 0.8, middle: float = 0.6) -> Column:

@@ -47,8 +47,10 @@ def pages(regions: DataFrame, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
 
 
 def labelled(label: Column, text: Column) -> Column:
-    """A page's text under its label; without a label just the text."""
-    return F.when(F.coalesce(label, F.lit("")) != "", F.concat(F.lit("["), label, F.lit("]\n\n"), F.coalesce(text, F.lit("")))).otherwise(F.coalesce(text, F.lit("")))
+    """A page's text under its label and a blank line; without text just the label and its line end, without a label just the text."""
+    own = F.coalesce(text, F.lit(""))
+    under = F.when(own == "", own).otherwise(F.concat(F.lit("\n"), own))
+    return F.when(F.coalesce(label, F.lit("")) != "", F.concat(F.lit("["), label, F.lit("]\n"), under)).otherwise(own)
 
 
 def volume_head(title: Column, n_pages: Column, made_at: Column) -> Column:

@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumetry.operators.model import EDITABLE_TYPES
 
 
-def latest(rows: DataFrame, keys: list[str], *newest: Column) -> DataFrame:
-    """One row for each key: the first by newest. Hot keys are cut down before the shuffle by a maximum per key where all columns are ordered."""
-    order = Window.partitionBy(*keys).orderBy(*newest)
-    return rows.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
-
-
 def latest_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """latest() with ascending order columns where the greatest wins, as an aggregate: partial maxima keep a hot key's rows on their own tasks."""
+    """One row for each key: the greatest by order, nulls first. An aggregate: partial maxima cut a hot key's rows down on their own tasks."""
     rest = [c for c in rows.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_b")
     return rows.groupBy(*keys).agg(best).select(*keys, *(F.col(f"_b.{c}").alias(c) for c in rest))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with new's rows put in by key; new wins, and of new's own duplicates the last by all its columns."""
+    """old with new's rows put in by key; new wins, and of new's own duplicates the greatest by all its columns. All columns must be sortable."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    return latest(both, keys, F.desc("_new"), *(F.desc(c) for c in old.columns if c not in keys)).drop("_new")
+    return latest_by(both, keys, ["_new", *(c for c in old.columns if c not in keys)]).drop("_new")
 
 
 def unprocessed(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -49,7 +43,7 @@ def drawn(segments: DataFrame, log: DataFrame) -> DataFrame:
 
 def moved(segments: DataFrame, log: DataFrame) -> DataFrame:
     """log: region_id, at, x, y, w_px, h_px, page_w, page_h. The last move of a region holds; at least 20 x 16 pixels; not beyond the left and top."""
-    last = latest(log, ["region_id"], F.desc("at")).select(
+    last = latest_by(log, ["region_id"], ["at", "x", "y", "w_px", "h_px"]).select(
         "region_id",
         F.greatest(F.lit(0.0), "x").alias("_x"),
         F.greatest(F.lit(0.0), "y").alias("_y"),
@@ -70,7 +64,7 @@ def deleted(segments: DataFrame, results: DataFrame, log: DataFrame, key: str =
 
 def retyped(segments: DataFrame, log: DataFrame) -> DataFrame:
     """log: region_id, at, new_type. The last valid type holds; a person is sure."""
-    last = latest(log.where(F.col("new_type").isin(*EDITABLE_TYPES)), ["region_id"], F.desc("at")).select("region_id", "new_type")
+    last = latest_by(log.where(F.col("new_type").isin(*EDITABLE_TYPES)), ["region_id"], ["at", "new_type"]).select("region_id", "new_type")
     joined = segments.join(last, "region_id", "left")
     sure = F.when(F.col("new_type").isNotNull(), 1.0).otherwise(F.col("confidence"))
     return joined.withColumn("confidence", sure).withColumn("rtype", F.coalesce("new_type", "rtype")).drop("new_type")
@@ -78,7 +72,7 @@ def retyped(segments: DataFrame, log: DataFrame) -> DataFrame:
 
 def retexted(results: DataFrame, log: DataFrame, key: str = "region_id") -> DataFrame:
     """log: key, at, new_text. Text changes; word count and confidence stay as recognised."""
-    last = latest(log, [key], F.desc("at")).select(key, "new_text")
+    last = latest_by(log, [key], ["at", "new_text"]).select(key, "new_text")
     return results.join(last, key, "left").withColumn("text", F.coalesce("new_text", "text")).drop("new_text")
 
 

@@ -51,35 +51,36 @@ def merge_overlaps(boxes: list[dict], p: Layout = LAYOUT) -> list[dict]:
 
 
 def merge_adjacent(boxes: list[dict], gap: float, p: Layout = LAYOUT, reset_column: bool = False) -> list[dict]:
-    """Joins boxes of one type and column, one under the other within gap, until nothing joins any more.
+    """Joins boxes of one type and column, one under the other within gap, in passes until nothing joins any more.
 
-    They must overlap sideways by half the narrower one and not overlap downward. The upper one's slot and
-    source stay, the higher confidence too. reset_column gives joined boxes column 0, so that they may
-    join across columns later; without it columns never mix.
+    A pass takes the boxes in order of y, x and slot; each grows by every later one that fits what it has
+    grown to. They must overlap sideways by half the narrower one and not overlap downward. The upper
+    one's slot and source stay, the higher confidence too. reset_column gives joined boxes column 0, so
+    that they may join across columns later; without it columns never mix.
     """
-    left = sorted(boxes, key=lambda b: (b["y"], b["x"], b["slot"]))
-    joined = True
+    left, joined = boxes, True
     while joined:
-        joined = False
-        for i, a in enumerate(left):
-            for j in range(i + 1, len(left)):
-                b = left[j]
+        joined, out = False, []
+        left = sorted(left, key=lambda b: (b["y"], b["x"], b["slot"]))
+        while left:
+            a, rest = left[0], []
+            for b in left[1:]:
                 space = b["y"] - (a["y"] + a["h"])
                 side = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
                 if a["rtype"] == b["rtype"] and a["col_no"] == b["col_no"] and 0 <= space <= gap and side >= p.column_overlap * min(a["w"], b["w"]):
-                    left[i] = {**a, **_union(a, b), "confidence": max(a["confidence"], b["confidence"]), "col_no": 0 if reset_column else a["col_no"]}
-                    del left[j]
+                    a = {**a, **_union(a, b), "confidence": max(a["confidence"], b["confidence"]), "col_no": 0 if reset_column else a["col_no"]}
                     joined = True
-                    break
-            if joined:
-                break
-        left.sort(key=lambda b: (b["y"], b["x"], b["slot"]))
+                else:
+                    rest.append(b)
+            out.append(a)
+            left = rest
+        left = out
     return left
 
 
 def blend_template(boxes: list[dict], expected: list[dict], p: Layout = LAYOUT) -> list[dict]:
-    """Each expected box raises the detected one that overlaps it most, whatever its type, or is added at a lower confidence."""
-    out, used = [dict(b) for b in boxes], set()
+    """Each expected box raises the detected one that overlaps it most, whatever its type, or is added at a lower confidence. Of equals the lower slot counts."""
+    out, used = [dict(b) for b in sorted(boxes, key=lambda b: b["slot"])], set()
     for e in sorted(expected, key=lambda b: b["slot"]):
         best = max(((_iou(b, e), -i) for i, b in enumerate(out[: len(boxes)])), default=(0.0, 0))
         if best[0] > p.blend_overlap and -best[1] not in used:

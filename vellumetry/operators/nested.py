@@ -1,7 +1,7 @@
 """Deeply nested records as flat tables with parent-child links (problem 3).
 
 Method: Dewey labelling. Walking a record in document order gives every element of a collection the
-label of its parent plus its own ordinal, as "0.3.1". The label of any ancestor is a truncation of it,
+label of its parent plus its own ordinal among all of the parent's children, as "0.3.1". The label of any ancestor is a truncation of it,
 so parent links need no bookkeeping, and elements grouped by schema path are the flat tables.
 
 What may differ between records is stated in a Schema: names are compared without case, "_" and "-";
@@ -122,10 +122,12 @@ def _walk(element: object, of: Collection, label: str, path: str, kept: str | No
     named = {plain(k): v for k, v in element.items()}
     key = next((_value(v) for k in of.keys if (v := named.get(plain(k))) is not None), kept)
     yield label, path, key, {f: _value(named[plain(f)]) for f in of.fields if named.get(plain(f)) is not None}
-    for n, child in enumerate(of.children):
-        for ordinal, under, x in _elements(named.get(plain(child.name)), child):
-            # sibling collections share one numbering level: their ordinals interleave
-            yield from _walk(x, child, f"{label}.{ordinal * len(of.children) + n}", f"{path}/{child.name}", under)
+    first = 0  # children are numbered through, one collection after the other
+    for child in of.children:
+        last = -1
+        for last, under, x in _elements(named.get(plain(child.name)), child):
+            yield from _walk(x, child, f"{label}.{first + last}", f"{path}/{child.name}", under)
+        first += last + 1
 
 
 def nodes_of(body: str | None, schema: Collection = PROJECT) -> list[tuple[str, str, str | None, dict[str, str | None]]]:
@@ -149,13 +151,14 @@ def nodes_of(body: str | None, schema: Collection = PROJECT) -> list[tuple[str,
     return list(_walk(value, schema, "0", schema.name, None))
 
 
-def nodes(records: DataFrame, id_col: str = "record_id", body_col: str = "body", schema: Collection = PROJECT) -> DataFrame:
-    """(record, label, path, key, fields MAP): one row for each element of each record. Narrow, no shuffle.
+def nodes(records: DataFrame, id_col: str = "record_id", body_col: str = "body", schema: Collection = PROJECT, fields: bool = True) -> DataFrame:
+    """(record, label, path, key, fields MAP): one row for each element of each record; fields is left out on request. Narrow, no shuffle.
 
     Null, blank and incomplete bodies give none. Other columns are left out, so their names can't clash.
     """
     kind = dict(records.dtypes)[id_col]
     map_type = pa.map_(pa.string(), pa.string())
+    names = ["record", "label", "path", "key", "fields"][: 5 if fields else 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,13 +173,13 @@ def nodes(records: DataFrame, id_col: str = "record_id", body_col: str = "body",
                 [
                     batch.column(0).take(pa.array(rows, pa.int64())),
                     *(pa.array(columns[c], pa.string()) for c in range(3)),
-                    pa.array([list(x.items()) for x in columns[3]], map_type),
+                    *([pa.array([list(x.items()) for x in columns[3]], map_type)] if fields else []),
                 ],
-                names=["record", "label", "path", "key", "fields"],
+                names=names,
             )
 
     picked = records.select(F.col(id_col), F.col(body_col).cast("string"))
-    return spread(picked).mapInArrow(run, f"record {kind}, label string, path string, key string, fields map<string,string>")
+    return spread(picked).mapInArrow(run, f"record {kind}, label string, path string, key string" + (", fields map<string,string>" if fields else ""))
 
 
 def ancestor(label: Column, levels: int) -> Column:

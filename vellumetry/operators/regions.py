@@ -44,12 +44,12 @@ def to_page_shares(boxes: DataFrame) -> DataFrame:
     )
 
 
-def region_type(density: Column, crop_w: Column | None = None) -> tuple[Column, Column]:
-    """(type, confidence): the first rule that fits. crop_w is the width as a share of the cropped page, where that differs from w."""
+def region_type(density: Column, crop_w: Column | None = None, crop_area: Column | None = None) -> tuple[Column, Column]:
+    """(type, confidence): the first rule that fits. crop_w and crop_area are the width and area as shares of the cropped page, where these differ from w and w x h."""
     y, h, w = F.col("y"), F.col("h"), F.col("w") if crop_w is None else crop_w
     top = (y < 0.20) & (h < 0.08)
     foot = (y > 0.90) & (h < 0.06) & (w < 0.30)
-    tiny = F.col("w") * h < 0.002
+    tiny = (F.col("w") * h if crop_area is None else crop_area) < 0.002
     rtype = F.when(top & (w > 0.20), "header").when(top & (w <= 0.20), "pagenum").when(foot, "pagenum").when(density > 0.03, "body").otherwise("unknown")
     sure = F.when(top & (w > 0.20), 0.88).when(top & (w <= 0.20), 0.82).when(foot, 0.85).when(density > 0.03, 0.80).when(tiny, 0.10).otherwise(0.40)
     return rtype, sure
@@ -109,15 +109,15 @@ def reading_order(regions: DataFrame, tie: str = "slot") -> DataFrame:
     return ranked.withColumn("ord", (F.row_number().over(order) - 1).cast("bigint")).drop("_rank", "_col")
 
 
-def ordered_arrays(regions: DataFrame) -> DataFrame:
-    """(page_id, segments ARRAY<STRUCT>): each page's regions in reading order."""
-    return regions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "slot", "rtype", "x", "y", "w", "h"))).alias("segments"))
+def ordered_arrays(regions: DataFrame, tie: str = "slot") -> DataFrame:
+    """(page_id, segments ARRAY<STRUCT>): each page's regions in reading order; a page's regions are few."""
+    return regions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", tie, "rtype", "x", "y", "w", "h"))).alias("segments"))
 
 
 def collapsed_bodies(regions: DataFrame, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The bounding box of all body of a page (or page and column), with the highest confidence."""
     return regions.where(F.col("rtype") == "body").groupBy(*by).agg(
-        F.min("x").alias("x1"), F.min("y").alias("y1"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2")
+        F.min("x").alias("x1"), F.min("y").alias("y1"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"), F.max("confidence").alias("confidence")
     )
 
 

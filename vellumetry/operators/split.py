@@ -52,25 +52,3 @@ def spines(rows: DataFrame, p: Split = SPLIT) -> DataFrame:
     place = F.when(deep, F.col("at")).otherwise(F.floor(F.col("w") / 2))
     clamped = F.greatest((F.col("w") * p.clamp[0]).cast("int"), F.least((F.col("w") * p.clamp[1]).cast("int"), place))
     return found.select("id", clamped.cast("bigint").alias("spine_x"), F.when(deep, "detected").otherwise("centre").alias("method"))
-
-
-def column_gutters(rows: DataFrame, p_low: float = 0.2, p_high: float = 0.8) -> DataFrame:
-    """(id, gutter): the emptiest place of an ink profile's middle, if it is at most 0.65 of the middle's mean; else null."""
-    sized = rows.select("id", "x", "b", F.count("*").over(Window.partitionBy("id")).alias("w"))
-    half = F.greatest(F.lit(1), F.floor(F.col("w") / 60))
-    # the kernel's width depends on the page, so the window is taken over the page's array
-    arrays = sized.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "b"))), lambda s: s.b).alias("v"), F.max("w").alias("w"), F.max(half).alias("k"))
-    band = arrays.select(
-        "id",
-        "w",
-        F.transform(
-            F.sequence((F.col("w") * p_low).cast("int"), (F.col("w") * p_high).cast("int") - 1),
-            lambda x: F.struct(
-                (F.aggregate(F.slice("v", F.greatest(x - F.floor(F.col("k") / 2) + 1, F.lit(1)).cast("int"), F.col("k").cast("int")), F.lit(0.0), lambda a, b: a + b) / F.col("k")).alias("s"),
-                x.alias("x"),
-            ),
-        ).alias("band"),
-    ).where("size(band) > 0")
-    mean = F.aggregate("band", F.lit(0.0), lambda a, b: a + b.s) / F.size("band")
-    best = F.array_min("band")
-    return band.select("id", F.when(best["s"] <= 0.65 * mean, best["x"].cast("bigint")).alias("gutter"))

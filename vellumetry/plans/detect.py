@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from vellumetry.functions import raster
 from vellumetry.operators import merge, regions, text
 from vellumetry.operators.model import LAYOUT, Layout
+from vellumetry.plans.importing import prepared_crops
 from vellumetry.sources.images import pixels
 
 _CANDIDATE = "path string, slot bigint, bx int, by int, bw int, bh int, px int, py int, page_w int, page_h int, crop_w int, crop_h int, sharp double, td double, gutter double"
 
 
-def candidate_boxes(images: DataFrame, denoised: bool = False) -> DataFrame:
+def candidate_boxes(images: DataFrame, denoised: bool = True) -> DataFrame:
     """Candidate boxes of all readable images; pixels don't leave the raster stage."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,9 +45,9 @@ def detect(
     Filters and types are expressions, merges work page by page; all per-page steps share one partitioning by page_id.
     """
     crop = boxes.withColumn("x", F.col("bx") / F.col("crop_w")).withColumn("y", F.col("by") / F.col("crop_h")).withColumn("w", F.col("bw") / F.col("crop_w")).withColumn("h", F.col("bh") / F.col("crop_h"))
-    kept = regions.sharp_enough(crop.where(regions.geometry_ok(p)).withColumn("crop_share", F.col("w")), "sharp", p)
+    kept = regions.sharp_enough(crop.where(regions.geometry_ok(p)).withColumn("crop_share", F.col("w")).withColumn("crop_area", F.col("w") * F.col("h")), "sharp", p)
     placed = regions.to_page_shares(kept)
-    rtype, sure = regions.region_type(F.col("td"), F.col("crop_share"))
+    rtype, sure = regions.region_type(F.col("td"), F.col("crop_share"), F.col("crop_area"))
     typed = placed.withColumn("rtype", rtype).withColumn("confidence", sure)
     gutters = typed.groupBy("page_id").agg(F.max("gutter").alias("gutter"))
     merged = regions.without_noise(merge.overlaps_merged(typed, p), p)
@@ -55,17 +56,20 @@ def detect(
     joined = regions.demoted_headers(merge.adjacent_merged(assigned, mode, merge_body, p))
     if expected is not None:
         joined = merge.template_blended(joined, expected, p)
-    return regions.reading_order(joined)
+    # demoted headers and a template's boxes get the column they stand in
+    return regions.reading_order(regions.with_columns_assigned(joined.drop("col_no"), gutters))
 
 
-def recognise(found: DataFrame, recogniser: Callable[[DataFrame], DataFrame], newlines: bool = False) -> DataFrame:
+def recognise(found: DataFrame, recogniser: Callable[[DataFrame], DataFrame], newlines: bool = False, images: DataFrame | None = None) -> DataFrame:
     """(region_id, text, confidence, word_count, skipped, error) of each region. found: region_id, rtype, x, y, w, h, image_w, image_h.
 
     recogniser turns the crops asked for into a word table (region_id, idx, word, conf, block, par, line[, error]);
-    a table of stored words will do. One region's error leaves the others as they are.
+    a table of stored words will do. With images, and found's path, what it gets has the prepared crop in
+    column crop, a PNG. One region's error leaves the others as they are.
     """
     asked = text.crop_boxes(found)
-    words = recogniser(asked.where(~F.col("skip")))
+    wanted = asked.where(~F.col("skip"))
+    words = recogniser(wanted if images is None else wanted.join(prepared_crops(images, found.drop("image_w", "image_h")), "region_id"))
     errors = words.where("error is not null").groupBy("region_id").agg(F.min("error").alias("error")) if "error" in words.columns else None
     done = text.assembled(words if errors is None else words.where("error is null"), newlines)
     out = asked.select("region_id", F.col("skip").alias("skipped")).join(done, "region_id", "left")

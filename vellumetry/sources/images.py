@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,9 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def landing(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files as a stream of (path, modificationTime, length, content)."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", GLOB).load(path)
+    """Uploaded files as a stream of (path, modificationTime, length, content); a folder without any is an empty stream."""
+    files = "path string, modificationTime timestamp, length bigint, content binary"
+    return spark.readStream.format("binaryFile").schema(files).option("pathGlobFilter", GLOB).load(path)
 
 
 def data_urls(spark: SparkSession, path: str) -> DataFrame:
@@ -55,20 +57,10 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
-def crops(images: DataFrame, spines: DataFrame) -> DataFrame:
-    """(path, name, width, height, data) of the left and right halves, or the single page. spines: path, spine_x, is_single."""
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                image = pixels(r.data, r.height, r.width, r.channels)
-                stem = r.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                parts = [("single", image)] if r.is_single else [("left", image[:, : r.spine_x]), ("right", image[:, r.spine_x :])]
-                out += [(r.path, f"{stem}_{side}", p.shape[1], p.shape[0], p.tobytes()) for side, p in parts]
-            yield pd.DataFrame(out, columns=["path", "name", "width", "height", "data"])
-
-    joined = images.where("data is not null").join(spines, "path").select("path", "width", "height", "channels", "data", "spine_x", "is_single")
-    return joined.mapInPandas(run, "path string, name string, width int, height int, data binary")
+def written(folder: str, name: str, content: bytes) -> str:
+    """Writes a file into a folder of any file system pyarrow knows, and gives its path. Written anew if it is there."""
+    files, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+    files.create_dir(base, recursive=True)
+    with files.open_output_stream(f"{base.rstrip('/')}/{name}") as out:
+        out.write(content)
+    return f"{folder.rstrip('/')}/{name}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,9 @@ segments:array<struct<id:string, type:string, x:double, y:double, w:double, h:do
 ocrResults:map<string,struct<text:string, confidence:double, word_count:int, skipped:boolean, error:string>>, confirmed:boolean>>>>>>"""
 
 
-def new_projects(projects: DataFrame, name: str) -> DataFrame:
-    """projects with one more, empty: its id is made from its name and the number of projects there are."""
-    spark = projects.sparkSession
-    made = spark.createDataFrame([(None, name)], "id string, name string").withColumn("id", F.substring(F.sha2(F.concat_ws(":", F.lit(name), F.lit(projects.count())), 256), 1, 8))
+def new_projects(projects: DataFrame, name: str, made_at: str) -> DataFrame:
+    """projects with one more, empty: its id is made from its name and the time it is made at, so it doesn't depend on the projects there are."""
+    made = projects.sparkSession.createDataFrame([(hashlib.sha256(f"{name}:{made_at}".encode()).hexdigest()[:8], name)], "id string, name string")
     return projects.unionByName(made, allowMissingColumns=True)
 
 
