@@ -56,6 +56,29 @@ def test_blank_lines_break_and_missing_spaces_too():
     assert cut("a wrapped\nline. Next") == ["a wrapped\nline.", "Next"]
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["I said no.", "I left."],
+        ["She said no.", "Can you help?"],
+        ["See No. 12 or no. 3.", "It is in vol. IV and vol. xii of it."],
+        ['It was 5" wide and 4" long.', "He left.", '"Who? Me?" she asked.'],
+        ['A stray " stands here.', "It went.", "It came."],
+        ["It was in Jan.", "I went on Jan. 5 of that year."],
+    ],
+)
+def test_words_and_marks_that_mislead(parts):
+    assert cut(" ".join(parts)) == parts
+
+
+def test_language_of_a_sentence_chooses_its_table():
+    assert sentences.language_of("the clerk of the town and") == "eng" and sentences.language_of("der Mann und die Frau") == "deu"
+    assert sentences.language_of("the and of der die und") is None and sentences.language_of("Ab cd") is None
+    # "Art." is an abbreviation before a number in English, "Z." in German only
+    german, english = "Der Mann kam mit der Z. 7 und ging.", "The man of the house was at Z. 7 men left the house."
+    assert cut(german) == [german] and cut(english) == ["The man of the house was at Z.", "7 men left the house."]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="aB .!?…“”«»()。」「\n।ก1’​", max_size=80))
 def test_sentences_cover_all_but_spaces(text):
@@ -101,6 +124,14 @@ def test_look_alikes():
     assert canonical.canonical(None) is None and canonical.canonical("") == ""
 
 
+def test_texts_to_read_keep_their_own_letters():
+    russian, persian = "хор оса сор", "می\u200cخواهم"
+    assert canonical.canonical(russian) == "xop oca cop" and canonical.tidied(russian) == russian
+    assert canonical.tidied(persian) == persian == canonical.canonical(persian)
+    assert canonical.tidied("the nаme is сor") == "the name is cor" and canonical.tidied("слово cор") == "слово cop"
+    assert canonical.tidied(None) is None and canonical.tidied("") == ""
+
+
 def test_pairs_by_brute_force(spark):
     rng = random.Random(5)
     base = ["café noir", "the old fire", "ok", ""]
@@ -267,6 +298,45 @@ def test_damage(spark):
     assert text == {100: "the clerk described a well-built lamp", 102: "", 103: "the clerk came to Heavyby"}
 
 
+def test_lost_hyphens_compounds_and_neighbours(spark):
+    right = ["the clerk sold the second-rate post here", "a loft above the committee room", "the post of the clerk", "a loft above us"] * 12
+    rows = [(i, t, True, "T", 0.99) for i, t in enumerate(right)]
+    rows += [
+        (100, "the com\nmittee sold the second-\nrate post", False, "T", 99.0),  # the hyphen is lost; a compound's isn't
+        (101, "a commit tee of it", False, "T", 0.5),
+        (102, "sold the fecond-rate poft here", False, "T", 0.5),  # s is read as f
+        (103, "a loft above a poft above us", False, "T", 0.5),
+    ]
+    data = spark.createDataFrame(rows, "result_id bigint, text string, confirmed boolean, title string, confidence double")
+    got = {(r.result_id, r.line_no, r.kind, r.word, r.right) for r in repair.damage(data).collect()}
+    assert {g[:3] for g in got if g[0] < 102} == {(100, 0, "hyphen"), (101, 0, "hyphen")}
+    assert (102, 0, "misread", "poft", "post") in got
+    text = {r.result_id: r.text for r in repair.repaired(data).collect()}
+    assert text[100] == "the committee sold the second-rate post" and text[101] == "a committee of it"
+    assert text[102] == "sold the second-rate post here" and text[103] == "a loft above a loft above us"
+
+
+def test_scripts_without_spaces_and_endings_of_names(spark):
+    place = [f"{a}{b}গঞ্জ" for a in ("দোমা", "হাদি", "শিদি", "কাকা", "তাতি") for b in ("রা", "লি", "বা", "সু", "মো")]
+    right = [f"{p} নগরে বিচারক দেখিলেন" for p in place] + ["彼はコンパイラを見た"] * 20 + ["โรงพยาบาลนี้"] * 20
+    rows = [(i, t, True, None, 0.99) for i, t in enumerate(right)]
+    rows += [(100, "বিচারক রিচারক", False, None, 0.9), (101, place[0].replace("দো", "গো"), False, None, 0.9), (102, "彼はコソパイラを見た", False, None, 0.9), (103, "โรงฟยาบาลนี้", False, None, 0.9)]
+    data = spark.createDataFrame(rows, "result_id bigint, text string, confirmed boolean, title string, confidence double")
+    assert {(r.result_id, r.kind) for r in repair.damage(data).collect()} == {(100, "misread"), (102, "misread"), (103, "misread")}
+    text = {r.result_id: r.text for r in repair.repaired(data).collect()}
+    assert text[100] == "বিচারক বিচারক" and text[102] == "彼はコンパイラを見た" and text[103] == "โรงพยาบาลนี้"
+
+
+def test_halves_find_every_candidate(spark):
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abclmnr") for _ in range(rng.randint(4, 7))) for _ in range(300)})
+    asked = sorted({"".join(rng.choice("abclmnr") for _ in range(rng.randint(4, 7))) for _ in range(200)} - set(words))
+    known = spark.createDataFrame([(w, 100) for w in words], "word string, n_right bigint")
+    got = {(r.word, r.right) for r in repair.corrections(known, spark.createDataFrame([(w, 1) for w in asked], "word string, n_raw bigint")).collect()}
+    trie = repair.Trie(dict.fromkeys(words, 100))
+    assert got == {(w, c) for w in asked for c in repair.candidates(w, trie)}
+
+
 def test_titles_of_volumes_without_headers(spark):
     results = spark.createDataFrame([("a", "r", "THE OWN TITLE."), ("b", "gone", "x")], "volume_id string, region_id string, text string")
     regions = spark.createDataFrame([("r", " Header")], "region_id string, region_type string")
@@ -365,6 +435,11 @@ def test_leaks_by_brute_force(spark):
     items = spark.createDataFrame([(7, item, "e"), (8, None, "e"), (9, "too short", "e")], "item_id bigint, text string, doc_id string")
     got = {(r.doc_id, r.item_id) for r in leaks.leaks(corpus.unionByName(corpus), items).collect()}
     assert got == {(0, 7), (2, 7), (6, 7), (7, 7)}
+    pieces = " x ".join(" ".join(words[a : a + 6]) for a in (12, 6, 0))  # in other order, each shorter than twelve words
+    moved = texts(spark, [pieces, " ".join(words[:6])], "doc_id")
+    assert leaks.leaks(moved, items).count() == 0
+    found = [(r.doc_id, r.item_id, r.covered >= 0.5) for r in leaks.leaks(moved, items, min_covered=0.5).collect()]
+    assert found == [(0, 7, True)]
     assert leaks.leaks(corpus.limit(0), items).count() == 0 and leaks.leaks(corpus, items.limit(0)).count() == 0
 
 

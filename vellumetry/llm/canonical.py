@@ -7,8 +7,11 @@ taken with the base character before it as boundary context; only these are norm
 results are spliced into the unchanged text. Plain ASCII never gets past one C-level test.
 
 Compatibility characters that look different (fractions, numero signs, circled or raised digits)
-keep their form: this is not NFKC. Joiners count as a difference beside letters of Indic scripts
-(they change the shape there) and between emoji; elsewhere they are invisible.
+keep their form: this is not NFKC. Joiners count as a difference beside letters of Indic and Arabic
+scripts (they change the shape there) and between emoji; elsewhere they are invisible.
+
+The canonical form is for comparing: a Cyrillic word of nothing but look-alikes becomes Latin in it.
+tidied() is for reading: there, words are only made Latin where they stand among Latin letters.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata as ud
+from collections.abc import Callable
 from functools import cache
 
 import pyarrow as pa
@@ -35,8 +39,8 @@ JOINERS = "‌‍"
 # Hyphens that look like the ASCII one.
 HYPHENS = "‐‑﹣－"
 
-#: Blocks from Devanagari to Malayalam and Sinhala, whose letters joiners reshape.
-INDIC = "ऀ-෿"
+#: Blocks whose letters joiners reshape: Devanagari to Malayalam and Sinhala; Arabic, Syriac and what follows them; Mongolian.
+RESHAPED = "ऀ-෿\u0600-\u08ff\u1800-\u18af\ufb50-\ufdff\ufe70-\ufefe"
 #: Entries a worker keeps of segments it has normalised; one entry is a few characters.
 MEMO = 200_000
 
@@ -87,7 +91,7 @@ def _tables() -> tuple[dict[str, str], re.Pattern, re.Pattern, re.Pattern]:
 
 
 _LOOK = dict(zip(LOOKALIKE_FROM, LOOKALIKE_TO, strict=True))
-_JOINER = re.compile(f"(?<![{INDIC}{JOINERS}\U0001f000-\U0001ffff☀-➿️])[{JOINERS}]+(?![{INDIC}\U0001f000-\U0001ffff☀-➿])")
+_JOINER = re.compile(f"(?<![{RESHAPED}{JOINERS}\U0001f000-\U0001ffff☀-➿️])[{JOINERS}]+(?![{RESHAPED}\U0001f000-\U0001ffff☀-➿])")
 _memo: dict[str, str] = {}
 _word_memo: dict[str, str] = {}
 
@@ -123,11 +127,17 @@ def _word(m: re.Match) -> str:
 _MIX = re.compile("[Ͱ-ԯ]")
 
 
-def canonical(text: str | None) -> str | None:
-    """The canonical form of a text; null stays null and the empty text empty.
+_UNIQUE = re.compile(f"(?![{LOOKALIKE_FROM}])[Ͱ-ԯ]")
+_LATIN = re.compile("[A-Za-zÀ-ɏ]")
 
-    Idempotent, and independent of how a text is cut at safe boundaries. Line ends are unified.
-    """
+
+def _word_among(line: str) -> Callable[[re.Match], str]:
+    """Like _word, for words of a line that may be Latin: those with a Latin letter, and all where the line has Latin letters and none of another script's own."""
+    latin_line = bool(_LATIN.search(line)) and not _UNIQUE.search(line)
+    return lambda m: _word(m) if latin_line or _LATIN.search(m.group()) else m.group()
+
+
+def _form(text: str | None, careful: bool) -> str | None:
     if text is None or text.isascii():
         return text if text is None or "\r" not in text else text.replace("\r\n", "\n").replace("\r", "\n")
     fold, changing, _, words = _tables()
@@ -139,10 +149,27 @@ def canonical(text: str | None) -> str | None:
         text = _JOINER.sub("", text)
     text = _nfc(text)
     if _MIX.search(text):
-        text = _nfc(words.sub(_word, text))  # an accent may now stand on a Latin letter
+        if careful:
+            text = "\n".join(words.sub(_word_among(line), line) if _MIX.search(line) else line for line in text.split("\n"))
+        else:
+            text = words.sub(_word, text)
+        text = _nfc(text)  # an accent may now stand on a Latin letter
     return text
 
 
+def canonical(text: str | None) -> str | None:
+    """The canonical form of a text, for comparing; null stays null and the empty text empty.
+
+    Idempotent, and independent of how a text is cut at safe boundaries. Line ends are unified.
+    """
+    return _form(text, False)
+
+
+def tidied(text: str | None) -> str | None:
+    """A text in one form to read: as canonical(), but words of other scripts' letters stay as they are where no Latin ones are around."""
+    return _form(text, True)
+
+
 @F.arrow_udf(T.StringType())
 def canonical_udf(texts: pa.Array) -> pa.Array:
     return pa.array([canonical(t) for t in texts.to_pylist()], pa.string())

@@ -4,8 +4,9 @@ Method: greedy string tiling. Texts become words: canonical form, lower case, ma
 lines set aside, words divided by a hyphen joined again. Seeds are hashes of SEED words in a row;
 winnowing keeps some of them, in such a way that two texts which share min_words words in a row share
 a kept seed for certain. Texts that share a seed are tiled: the longest non-overlapping matches are
-marked first, found by running Karp-Rabin matching with a falling search length. Longest tile and
-tiled share of the held-out passage decide; tiles may stand in any order.
+marked first, found by running Karp-Rabin matching with a falling search length. The longest tile
+decides, or, where it is asked for, the tiled share of the held-out passage, whose tiles may stand in
+any order; then every seed is kept, so that texts which share MIN_TILE words in a row are tiled.
 
 Letters of scripts without spaces are words of their own that count half.
 """
@@ -161,17 +162,20 @@ def leaks(
     item_id: str = "item_id",
     text_col: str = "text",
     min_words: int = MIN_WORDS,
+    min_covered: float | None = None,
 ) -> DataFrame:
     """(doc_id, item_id, longest, covered) of each document with an item's passage of min_words words or more.
 
-    longest is the longest tile in words, covered the tiled share of the item's words. Null and short
+    With min_covered, also of those whose tiles of MIN_TILE words or more cover that share of the item:
+    passages in pieces, in any order. longest is the longest tile in words, covered the tiled share of the item's words. Null and short
     texts on either side have none; rows repeated with the same id and text count once. The join of
     seeds and the join of candidates with their texts spread by seed and by document, so neither a hot
     item nor a hot document is gathered in one task; texts without a shared seed aren't shuffled twice.
     """
+    shared = min_words if min_covered is None else MIN_TILE
     pairs = (
-        _seed_rows(corpus, doc_id, text_col, min_words, "_d")
-        .join(_seed_rows(items, item_id, text_col, min_words, "_i"), "seed")
+        _seed_rows(corpus, doc_id, text_col, shared, "_d")
+        .join(_seed_rows(items, item_id, text_col, shared, "_i"), "seed")
         .select("_d", "_i")
         .distinct()
     )
@@ -187,10 +191,11 @@ def leaks(
                 p = words(passage)
                 found = tiles(p, words(text))
                 most = max((_count(p[i : i + n]) for i, _, n in found), default=0.0)
-                if most >= min_words:
+                share = sum(n for *_, n in found) / max(len(p), 1)
+                if most >= min_words or min_covered is not None and share >= min_covered:
                     keep.append(r)
                     longest.append(most)
-                    covered.append(sum(n for *_, n in found) / len(p))
+                    covered.append(share)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(longest, pa.float64()), pa.array(covered, pa.float64())],

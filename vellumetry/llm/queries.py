@@ -73,6 +73,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold half an item or more, in pieces and in any order, too; with what they hold."""
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), min_covered=0.5)
+    return found.select("doc_id", "item_id", "longest", F.round("covered", 6).alias("covered"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, "text", "lang", "doc_id")
@@ -80,5 +86,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "subject").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sequences": p2_sequences, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sequences": p2_sequences, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_covered": p8_covered, "p9_found": p9_found}
 SQL: dict[str, str] = {}

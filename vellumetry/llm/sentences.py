@@ -3,8 +3,9 @@
 Method: cascading segmentation rule tables. Every rule is a pair of patterns, one for the text before
 a position and one for the text after it, and says break or no break; the first rule whose two
 patterns match decides. Tables exist for each language; a cascade puts the tables for a script in
-order, with the common table last, and a position is decided by the cascade of the script before it
-(the caller may name a language instead). Candidate positions are those after closing marks, and in
+order, with the common table last, and a position is decided by the cascade of the script before it.
+Of the tables for languages with Latin letters, only that of the sentence's language is asked, where the
+common words from its start to a little beyond the position, or the caller, tell it, else all are. Candidate positions are those after closing marks, and in
 Thai, which has none, the spaces. Blank lines always break, and positions inside a closed pair of
 quotes or brackets never do, so a quotation stays with the sentence that reports it.
 
@@ -38,12 +39,22 @@ BEFORE_NAME = {
     "spa": "Sr Sra Srta Sres Dr Dra D Dña Lic Ing Prof Sto Sta Fr Ud Uds Vd",
 }
 BEFORE_NUMBER = {
-    "eng": "No Nos no nos Fig Figs fig vol vols Vol p pp chap Chap lib cap Art art sec Sec ch ca c v vv l ll Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec",
-    "fra": "n no nos t vol p pp chap fig art liv col janv févr avr juil sept oct nov déc env",
-    "deu": "Nr Nrn Bd Bde S Kap Abb Abs Art Aufl Jg Jan Feb Febr Mrz Apr Jun Jul Aug Sept Sep Okt Nov Dez ca Tab Taf Z Str",
+    "eng": "No Nos nos Fig Figs fig vol vols Vol p pp chap Chap lib cap Art art sec Sec ch ca c v vv l ll",
+    "fra": "n no nos t vol p pp chap fig art liv col env",
+    "deu": "Nr Nrn Bd Bde S Kap Abb Abs Art Aufl Jg ca Tab Taf Z Str",
     "lat": "lib cap pag fol vol a an",
-    "spa": "núm núms pág págs vol t cap art fig ene feb abr jun jul ago sept set oct nov dic",
+    "spa": "núm núms pág págs vol t cap art fig",
 }
+# Abbreviations that only a number in digits follows: months, and words that also end sentences.
+BEFORE_DIGIT = {
+    "eng": "no Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec",
+    "fra": "janv févr avr juil sept oct nov déc",
+    "deu": "Jan Feb Febr Mrz Apr Jun Jul Aug Sept Sep Okt Nov Dez",
+    "lat": "Ian Febr Mart Apr Iun Iul Aug Sept Oct Nov Dec",
+    "spa": "ene feb abr jun jul ago sept set oct nov dic",
+}
+#: A number: digits, or a whole roman numeral, but no capital I by itself.
+NUMERAL = r"\s*(?:\d|[ivxlc]+(?![^\W\d_])|(?:I(?=[IVXLC])|[VXLC])[IVXLC]*(?![^\W\d_]))"
 WITHIN_PHRASE = {
     "eng": "e.g i.e viz cf vs al",
     "fra": "c.-à-d p.ex cf",
@@ -51,6 +62,14 @@ WITHIN_PHRASE = {
     "lat": "i.e i e.g cf sc",
     "spa": "p.ej p cf EE",
 }
+# Common words, by which a sentence's language is told.
+COMMON_WORDS = {
+    "eng": "the of and was with that this which from to for his by are were had",
+    "fra": "le la les des une dans est que et du au pour par sur il qui",
+    "deu": "der die das und nicht mit von ein ist im den dem eine zu war auf",
+    "lat": "et in est ut cum ad non quod sed per ex ab autem tamen qui hoc",
+    "spa": "el los las una con que por del se en la y para su al de",
+}
 # Words before a German ordinal.
 GERMAN_ORDINAL = "im am vom zum zur der die das dem den des ab bis seit und Im Am Vom Zum Zur Der Die Das Dem Den Des Seit"
 # Short Indic words written with a stop.
@@ -79,7 +98,8 @@ def tables() -> dict[str, list[Rule]]:
         edge = f"(?<![{LATIN}\\d])"
         out[lang] = [
             _rule(False, f"{edge}(?:{_words(BEFORE_NAME[lang])})\\.", rf"\s*{OPENING}?[{UPPER}\d]"),
-            _rule(False, f"{edge}(?:{_words(BEFORE_NUMBER[lang])})\\.", r"\s*[\divxlcIVXLC]"),
+            _rule(False, f"{edge}(?:{_words(BEFORE_NUMBER[lang])})\\.", NUMERAL),
+            _rule(False, f"{edge}(?:{_words(BEFORE_DIGIT[lang])})\\.", r"\s*\d"),
             _rule(False, f"{edge}(?:{_words(WITHIN_PHRASE[lang])})\\."),
         ]
     out["fra"].append(_rule(False, r"\d\s*(?:h|min)\.", r"\s*\d"))
@@ -156,6 +176,8 @@ _CLOSES = {"”": "“", "»": "«", "」": "「", "』": "『", ")": "(", "）"
 _LETTER = re.compile(rf"[{LATIN}]")
 #: Characters of context that a rule sees before a position; none needs more.
 CONTEXT = 20
+#: Characters after a position that may tell its language.
+AHEAD = 60
 #: Forms of one character that stand for another, for the rules only; offsets stay.
 _SAME = {**{0xFF01 + i: 0x21 + i for i in range(94) if 0xFF01 + i not in map(ord, "！（），．？")}, **dict(zip(map(ord, LOOKALIKE_FROM), LOOKALIKE_TO, strict=True))}
 _OTHER_FORMS = re.compile("[" + "".join(map(chr, _SAME)) + "]")
@@ -174,7 +196,11 @@ def _pairs(text: str, lo: int, hi: int) -> dict[int, int]:
         elif c == "“" and any(s == "„" for s, _ in stack):
             want = "„"
         elif c == '"':
-            want = '"' if any(s == '"' for s, _ in stack) else ""
+            # what opens follows a space or an opening mark, what closes doesn't; after a digit it may be a measure
+            opens = i == lo or text[i - 1].isspace() or text[i - 1] in "([{—–-“„«‘"
+            if not opens and not any(s == '"' for s, _ in stack):
+                continue
+            want = "" if opens else '"'
         else:
             want = _CLOSES.get(c, "")
         if not want:
@@ -188,6 +214,17 @@ def _pairs(text: str, lo: int, hi: int) -> dict[int, int]:
     return done
 
 
+_PLAIN_WORD = re.compile(f"[{LATIN}]+")
+_COMMON = {lang: frozenset(words.split()) for lang, words in COMMON_WORDS.items()}
+
+
+def language_of(text: str) -> str | None:
+    """The language of a stretch of text in Latin letters by its common words; None where they don't tell, or tell of two."""
+    words = _PLAIN_WORD.findall(text.lower())
+    (most, lang), (second, _), *_ = sorted(((sum(w in common for w in words), lang) for lang, common in _COMMON.items()), reverse=True)
+    return lang if most >= 2 and most >= 2 * second else None
+
+
 class _ScriptOf(dict):
     def __missing__(self, c: str) -> str | None:
         m = _SCRIPT.match(c)
@@ -252,7 +289,10 @@ def _breaks(text: str, lo: int, hi: int, language: str | None) -> Iterator[int]:
         if script in ("devanagari", "bengali") and (p - 1) in closes and closes[p - 1] == start and text[p - 1] in "”’\"" and _REPORTED.match(text, p):
             continue  # the quotation opens the sentence, and its report follows
         rules, rest, gate = cascade(script, language)
-        for is_break, b, a in rules if gate.search(before) else rest:
+        asked = gate.search(before)
+        if asked and script == "latin":
+            rules = cascade(script, language or language_of(text[start : min(hi, p + AHEAD)]))[0]
+        for is_break, b, a in rules if asked else rest:
             if (b is None or b.search(before)) and a.match(text, p, hi):
                 if is_break:
                     yield p
