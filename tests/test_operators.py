@@ -258,6 +258,36 @@ def test_slots_count_confidence_and_activity(spark):
         assert template.predicted(found, template.samples(rows)).count() == (n >= 3)
 
 
+def test_templates_saved_and_read(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(v, p, 1, "body", rng.random(), rng.random(), 0.5, 0.3) for v, n in (("v", 5), ("w", 1)) for p in range(n)] + [("u", 9, 1, "unknown", 0.1, 0.1, 0.1, 0.1)]
+    data = spark.createDataFrame(rows, "volume_id string, page_id bigint, slot bigint, rtype string, x double, y double, w double, h double")
+    found, counted = template.slots(data), template.samples(data)
+    saved = template.documents(found, counted)
+    assert set(json.loads({r.volume_id: r.template for r in saved.collect()}["v"])["stats"]["body"][0]) == {"n", "mean", "std", "confidence"}
+    again, counts = template.from_documents(saved.unionByName(spark.createDataFrame([("x", "{broken")], saved.schema)))
+    key = lambda r: (r.volume_id, r.rtype, r.k, r.n, *(round(r[f"{m}_{c}"], 9) for m in ("mean", "var") for c in "xywh"), round(r.confidence, 9))
+    assert sorted(map(key, again.collect())) == sorted(map(key, found.collect()))
+    assert {(r.volume_id, r.n_samples, r.active, r.needed) for r in counts.collect()} == {("v", 5, True, 0), ("w", 1, False, 2), ("u", 1, False, 2)}
+    projects.save_templates(found, str(tmp_path / "t"))
+    assert projects.load_templates(spark, str(tmp_path / "t")).count() == 2 and projects.load_templates(spark, str(tmp_path / "t"), "v").count() == 1 and projects.load_templates(spark, str(tmp_path / "t"), "none").count() == 0
+
+
+def test_stream_keeps_templates(spark, tmp_path):
+    from vellumetry.streaming.template_state import update_templates
+
+    schema = "volume_id string, segments array<struct<rtype:string,x:double,y:double,w:double,h:double>>"
+    src = tmp_path / "in"
+    pages = [("v", [("body", 0.1, 0.5, 0.3, 0.4), ("body", 0.2, 0.1, 0.3, 0.4)]), ("v", [("body", 0.4, 0.1, 0.3, 0.4), ("unknown", 0, 0, 1, 1)]), ("v", None), ("w", [("unknown", 0.0, 0.0, 1.0, 1.0)])]
+    for v, segs in pages:
+        spark.createDataFrame([(v, segs and [(t, *map(float, b)) for t, *b in segs])], schema).coalesce(1).write.mode("append").json(str(src))
+    out = update_templates(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src)))
+    query = out.writeStream.outputMode("update").format("memory").queryName("templates").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    rows = spark.sql("select volume_id, rtype, k, max_by(n, n_samples) n, max_by(mean_x, n_samples) x, max(n_samples) s from templates group by 1, 2, 3").collect()
+    assert {(r.volume_id, r.rtype, r.k, r.n, r.x and round(r.x, 9), r.s) for r in rows} == {("v", "body", 0, 2, 0.3, 3), ("v", "body", 1, 1, 0.1, 3), ("w", None, None, None, None, 1)}
+
+
 def test_stream_keeps_slots(spark, tmp_path):
     from vellumetry.streaming.template_state import update_slots
 
@@ -292,7 +322,7 @@ def test_recognition_keeps_other_regions(spark):
     assert got == {"a": ("hi", False, None), "b": ("", True, None), "c": ("", False, "stopped")}
 
 
-def test_compiled_pages_and_volumes(spark):
+def test_compiled_pages_and_volumes(spark, tmp_path):
     rows = [("p", "1", "pagenum", 0.9, "12"), ("p", "2", "header", 0.0, " T "), ("p", "3", "body", 0.5, "b"), ("p", "4", "body", None, "a"), ("p", "5", "footnote", 0.8, "f"), ("p", "6", "engraving", 0.1, "[ENGRAVING]"), ("p", "7", "body", 0.2, "  "), ("q", "8", "body", 0.1, None)]
     regs = spark.createDataFrame(rows, "page_id string, region_id string, rtype string, y double, text string")
     got = {r.page_id: r.text for r in compiling.pages(regs).collect()}
@@ -302,6 +332,12 @@ def test_compiled_pages_and_volumes(spark):
     rule = "\n\n" + "─" * 60 + "\n"
     assert out.text == "Compiled Output\nGenerated: 2024-05-06 07:08\nPages: 3\n" + "═" * 60 + "\n\n[Page 1]\n\nx" + rule + "\n[L]\n" + rule
     assert out.n_pages == 3 and out.char_count == len(out.text)
+    parts = compiling.volume_parts(pages, F.lit("2024-05-06 07:08:00").cast("timestamp"))
+    assert "".join(r.part for r in parts.orderBy("pos").collect()) == out.text
+    written = projects.write_parts(parts, str(tmp_path / "volumes"), "volume_id").collect()
+    assert [(r.volume_id, r.char_count) for r in written] == [("v", out.char_count)]
+    files = sorted((tmp_path / "volumes" / "volume_id=v").glob("*.txt"))
+    assert "".join(f.read_text() for f in files) == out.text
 
 
 def test_export(spark):

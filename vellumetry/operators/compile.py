@@ -72,6 +72,19 @@ def volumes(compiled: DataFrame, made_at: Column, title: Column | None = None, b
     return kept.select(by, F.concat(head, F.when(F.col("body") != "", F.concat(F.lit("\n"), "body")).otherwise("")).alias("text"), "n_pages").withColumn("char_count", F.length("text").cast("bigint"))
 
 
+def volume_parts(compiled: DataFrame, made_at: Column, title: Column | None = None, by: str = "volume_id") -> DataFrame:
+    """(by, pos, part): what volumes() makes, in parts, the head at pos -1 and then each page; put after each other in order of pos they are the text.
+
+    No volume is gathered anywhere, so it may have any number of pages; write_parts() in sources.projects writes them in order.
+    """
+    name = F.coalesce("label", F.concat(F.lit("Page "), (F.col("pos") + 1).cast("string")))
+    page = labelled(name, F.col("text"))
+    parts = compiled.where(stripped(page) != "").select(by, F.col("pos").cast("bigint").alias("pos"), F.concat(F.lit("\n"), page, F.lit("\n" + PAGE_BREAK)).alias("part"))
+    head = volume_head(F.lit("Compiled Output") if title is None else title, F.col("n"), made_at)
+    heads = compiled.groupBy(by).agg(F.count("*").alias("n")).select(by, F.lit(-1).cast("bigint").alias("pos"), head.alias("part"))
+    return heads.unionByName(parts)
+
+
 def project_text(regions: DataFrame, by: str = "project_id") -> DataFrame:
     """(by, text): headers, body and footnotes of each page in this order, by y within a type, blank lines between; pages in order
     of volume, spread and side. regions: by, volume_pos, spread_pos, side (left, right), rtype, y, region_id, text. Columns don't count.

@@ -93,8 +93,51 @@ def blend_template(boxes: list[dict], expected: list[dict], p: Layout = LAYOUT)
     return out
 
 
-def _boxes_of(page_id: int, rows: list[dict] | None) -> list[dict]:
-    return [{"page_id": page_id, **r} for r in rows or ()]
+def joined_by_type(boxes: list[dict], gap: float | None, collapse: bool, p: Layout = LAYOUT, reset_column: bool = False) -> list[dict]:
+    """Body joined within gap (None: left as it is), other types within theirs; collapse then makes one box of all body of a column."""
+    body = [b for b in boxes if b["rtype"] == "body"]
+    rest = [b for b in boxes if b["rtype"] != "body"]
+    if gap is not None:
+        body = merge_adjacent(body, gap, p, reset_column)
+    if collapse:
+        columns: dict[int, dict] = {}
+        for b in sorted(body, key=lambda b: (b["y"], b["x"], b["slot"])):
+            a = columns.get(b["col_no"])
+            columns[b["col_no"]] = b if a is None else {**a, **_union(a, b), "confidence": max(a["confidence"], b["confidence"])}
+        body = list(columns.values())
+    return body + merge_adjacent(rest, p.gap_other, p, reset_column)
+
+
+def _with_columns(boxes: list[dict], gutter: float | None) -> list[dict]:
+    return [{**b, "col_no": 0 if b["rtype"] != "body" or gutter is None else 1 if b["x"] + b["w"] / 2 < gutter else 2} for b in boxes]
+
+
+def lay_out(boxes: list[dict], gutter: float | None, due: list[dict] | None, gap: float | None, collapse: bool, p: Layout = LAYOUT) -> list[dict]:
+    """A page's typed boxes as regions in reading order: overlaps, noise, columns, neighbours, headers that aren't, what is due, order."""
+    kept = [b for b in merge_overlaps(boxes, p) if not (b["rtype"] == "unknown" and b["confidence"] < p.noise)]
+    out = joined_by_type(_with_columns(kept, gutter), gap, collapse, p)
+    first = min((b["y"] for b in out if b["rtype"] == "body"), default=None)
+    out = [{**b, "rtype": "body"} if b["rtype"] == "header" and first is not None and b["y"] >= first else b for b in out]
+    if due is not None:
+        base = max((b["slot"] for b in out), default=0)
+        out = blend_template(out, [{**e, "slot": e["slot"] + base} for e in due], p)
+    out = _with_columns(out, gutter)
+    two = {b["col_no"] for b in out if b["rtype"] == "body"} >= {1, 2}
+    rank = {"header": 0, "body": 1, "pagenum": 3}
+    out.sort(key=lambda b: (rank.get(b["rtype"], 2), b["col_no"] if two and b["rtype"] == "body" else 0, b["y"], b["slot"]))
+    return [{**b, "ord": n} for n, b in enumerate(out)]
+
+
+def _lists(column: pa.ListArray) -> list[list[dict] | None]:
+    """The boxes of each page; null where there is no list."""
+    flat = column.flatten()
+    names = [flat.type.field(i).name for i in range(flat.type.num_fields)]
+    rows = [dict(zip(names, values, strict=True)) for values in zip(*(flat.field(i).to_pylist() for i in range(len(names))), strict=True)]
+    out, at = [], 0
+    for n in column.value_lengths().to_pylist():
+        out.append(None if n is None else rows[at : at + n])
+        at += n or 0
+    return out
 
 
 def _pages(regions: DataFrame, name: str) -> DataFrame:
@@ -102,20 +145,26 @@ def _pages(regions: DataFrame, name: str) -> DataFrame:
     return regions.groupBy("page_id").agg(F.collect_list(F.struct(*_NAMES[1:])).alias(name))
 
 
-def _flat(pages: DataFrame, run: Callable[..., list[dict]]) -> DataFrame:
-    """run over the arrays of each page, many pages in an Arrow batch: no frame is built for a page."""
-    lists = pages.columns[1:]
-    schema = pa.schema([("page_id", pa.int64()), ("slot", pa.int64()), ("rtype", pa.string()), ("confidence", pa.float64()), ("source", pa.string()), ("col_no", pa.int32()), *((c, pa.float64()) for c in "xywh")])
+_ARROW = [("page_id", pa.int64()), ("slot", pa.int64()), ("rtype", pa.string()), ("confidence", pa.float64()), ("source", pa.string()), ("col_no", pa.int32()), *((c, pa.float64()) for c in "xywh")]
+
+
+def _flat(pages: DataFrame, run: Callable[..., list[dict]], more: tuple[tuple[str, pa.DataType], ...] = ()) -> DataFrame:
+    """run over the arrays (and other columns) of each page, many pages in an Arrow batch: no frame is built for a page."""
+    arrow = [*_ARROW, *more]
 
     def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids: list[int] = []
             out: list[dict] = []
-            ids = batch.column(0).to_pylist()
-            for page_id, *boxes in zip(ids, *(batch.column(i + 1).to_pylist() for i in range(len(lists))), strict=True):
-                out += run(*(_boxes_of(page_id, b) for b in boxes))
-            yield pa.RecordBatch.from_pylist(out, schema)
+            columns = [_lists(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns[1:]]
+            for page_id, *given in zip(batch.column(0).to_pylist(), *columns, strict=True):
+                found = run(*given)
+                ids += [page_id] * len(found)
+                out += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([b[name] for b in out], kind) for name, kind in arrow[1:])], names=[name for name, _ in arrow])
 
-    return pages.mapInArrow(batched, REGION)
+    kinds = {pa.int64(): "bigint"}
+    return pages.mapInArrow(batched, REGION + "".join(f", {name} {kinds[kind]}" for name, kind in more))
 
 
 def _grouped(regions: DataFrame, run: Callable[[list[dict]], list[dict]], may_join: Callable[[Column, Column], Column]) -> DataFrame:
@@ -150,25 +199,19 @@ def overlaps_merged(regions: DataFrame, p: Layout = LAYOUT) -> DataFrame:
     return _grouped(_typed(regions), lambda boxes: merge_overlaps(boxes, p), may_join)
 
 
+def body_gap(mode: str, p: Layout = LAYOUT) -> float | None:
+    return {"newlines": None, "paragraphs": p.gap_paragraph, "default": p.gap_body}[mode]
+
+
 def adjacent_merged(regions: DataFrame, mode: str = "default", collapse: bool = False, p: Layout = LAYOUT, reset_column: bool = False) -> DataFrame:
     """mode: newlines leaves body as it is, paragraphs joins close body, default joins it widely; other types are always joined.
 
     collapse then makes one box of all body of a column.
     """
-    gap = {"newlines": None, "paragraphs": p.gap_paragraph, "default": p.gap_body}[mode]
+    gap = body_gap(mode, p)
 
     def run(boxes: list[dict]) -> list[dict]:
-        body = [b for b in boxes if b["rtype"] == "body"]
-        rest = [b for b in boxes if b["rtype"] != "body"]
-        if gap is not None:
-            body = merge_adjacent(body, gap, p, reset_column)
-        if collapse and mode == "default":
-            columns: dict[int, dict] = {}
-            for b in body:
-                a = columns.get(b["col_no"])
-                columns[b["col_no"]] = b if a is None else {**a, **_union(a, b), "confidence": max(a["confidence"], b["confidence"])}
-            body = list(columns.values())
-        return body + merge_adjacent(rest, p.gap_other, p, reset_column)
+        return joined_by_type(boxes, gap, collapse and mode == "default", p, reset_column)
 
     def may_join(a: Column, b: Column) -> Column:
         same = a["rtype"].eqNullSafe(b["rtype"]) & (a["col_no"] == b["col_no"])
@@ -184,9 +227,22 @@ def adjacent_merged(regions: DataFrame, mode: str = "default", collapse: bool =
 def template_blended(regions: DataFrame, expected: DataFrame, p: Layout = LAYOUT) -> DataFrame:
     """expected: (page_id, slot, rtype, confidence, x, y, w, h); pages on either side alone are kept. Added boxes' slots follow the page's own."""
 
-    def page(found: list[dict], due: list[dict]) -> list[dict]:
-        base = max((b["slot"] for b in found), default=0)
-        return blend_template(found, [{**e, "slot": e["slot"] + base} for e in due], p)
+    def page(found: list[dict] | None, due: list[dict] | None) -> list[dict]:
+        base = max((b["slot"] for b in found or ()), default=0)
+        return blend_template(found or [], [{**e, "slot": e["slot"] + base} for e in due or ()], p)
 
     both = _pages(_typed(regions), "found").join(_pages(_typed(expected, None), "due"), "page_id", "full")
     return _flat(both.select("page_id", "found", "due"), page)
+
+
+def laid_out(typed: DataFrame, gutters: DataFrame, expected: DataFrame | None = None, mode: str = "default", collapse: bool = True, p: Layout = LAYOUT) -> DataFrame:
+    """Regions in reading order (ord from 0) from typed boxes: every step of a page, from overlaps to order, in one pass over its boxes.
+
+    gutters: (page_id, gutter); expected: as for template_blended(). Pages that are only expected have what is expected.
+    """
+    gap, collapse = body_gap(mode, p), collapse and mode == "default"
+    pages = _pages(_typed(typed), "found").join(gutters.select("page_id", F.col("gutter").cast("double").alias("gutter")), "page_id", "left")
+    if expected is None:
+        return _flat(pages.select("page_id", "found", "gutter"), lambda found, gutter: lay_out(found, gutter, None, gap, collapse, p), (("ord", pa.int64()),))
+    both = pages.join(_pages(_typed(expected, None), "due"), "page_id", "full").select("page_id", "found", "gutter", "due")
+    return _flat(both, lambda found, gutter, due: lay_out(found or [], gutter, due or [], gap, collapse, p), (("ord", pa.int64()),))

@@ -56,6 +56,31 @@ def summary(found: DataFrame, counted: DataFrame, by: tuple[str, ...] = ("volume
     return counted.join(types, list(by), "left")
 
 
+_XYWH = "struct<x:double,y:double,w:double,h:double>"
+#: A saved template (fixed names): each type's slots in order.
+DOCUMENT = f"volume_id string, n_samples int, stats map<string,array<struct<n:bigint,mean:{_XYWH},std:{_XYWH},confidence:double>>>"
+
+
+def documents(found: DataFrame, counted: DataFrame, by: str = "volume_id") -> DataFrame:
+    """(by, template): each volume's template as JSON; a volume's slots are few. Volumes without a slot have an empty one."""
+    box = lambda f: F.struct(*(f(c).alias(c) for c in BOX))
+    slot = F.struct("k", F.struct("n", box(lambda c: F.col(f"mean_{c}")).alias("mean"), box(lambda c: F.sqrt(f"var_{c}")).alias("std"), "confidence").alias("s"))
+    types = found.groupBy(by, "rtype").agg(F.transform(F.array_sort(F.collect_list(slot)), lambda x: x.s).alias("slots"))
+    stats = types.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("rtype", "slots"))).alias("stats"))
+    whole = counted.select(by, "n_samples").join(stats, by, "left").withColumn("stats", F.coalesce("stats", F.from_json(F.lit("{}"), DOCUMENT.split("stats ")[1])))
+    return whole.select(by, F.to_json(F.struct(F.col(by).cast("string").alias("volume_id"), F.col("n_samples").cast("int").alias("n_samples"), "stats")).alias("template"))
+
+
+def from_documents(saved: DataFrame, p: Template = TEMPLATE) -> tuple[DataFrame, DataFrame]:
+    """(slots, samples) from documents(): deviations become variances again, exact from two pages on. JSON that can't be read gives nothing."""
+    read = saved.select(F.from_json("template", DOCUMENT).alias("t")).where("t.volume_id is not null").select("t.*")
+    samples_ = read.select("volume_id", "n_samples", (F.col("n_samples") >= p.needed).alias("active"), F.greatest(F.lit(0), p.needed - F.col("n_samples")).alias("needed"))
+    each = read.select("volume_id", F.explode("stats").alias("rtype", "slots")).select("volume_id", "rtype", F.posexplode("slots").alias("k", "s"))
+    deviation = lambda c: F.when(F.col("s.n") < 2, p.variance_of_one).otherwise(F.col(f"s.std.{c}") * F.col(f"s.std.{c}"))
+    found = each.select("volume_id", "rtype", F.col("k").cast("bigint").alias("k"), F.col("s.n").alias("n"), *(F.col(f"s.mean.{c}").alias(f"mean_{c}") for c in BOX), *(deviation(c).alias(f"var_{c}") for c in BOX))
+    return found.withColumn("confidence", slot_confidence(F.col("n"), F.sqrt("var_x"), F.sqrt("var_y"), p)), samples_
+
+
 class Running:
     """The same statistics kept page by page (Welford), for streams: n, means and sums of squared deviations of a slot."""
 

@@ -42,7 +42,7 @@ def detect(
 ) -> DataFrame:
     """Regions in reading order from candidate boxes: page_id, slot, bx, by, bw, bh, px, py, page_w, page_h, crop_w, crop_h, sharp, td, gutter.
 
-    Filters and types are expressions, merges work page by page; all per-page steps share one partitioning by page_id.
+    Filters and types are expressions; all that depends on the order of a page's boxes is one pass over them.
     """
     crop = boxes.withColumn("x", F.col("bx") / F.col("crop_w")).withColumn("y", F.col("by") / F.col("crop_h")).withColumn("w", F.col("bw") / F.col("crop_w")).withColumn("h", F.col("bh") / F.col("crop_h"))
     kept = regions.sharp_enough(crop.where(regions.geometry_ok(p)).withColumn("crop_share", F.col("w")).withColumn("crop_area", F.col("w") * F.col("h")), "sharp", p)
@@ -50,14 +50,8 @@ def detect(
     rtype, sure = regions.region_type(F.col("td"), F.col("crop_share"), F.col("crop_area"))
     typed = placed.withColumn("rtype", rtype).withColumn("confidence", sure)
     gutters = typed.groupBy("page_id").agg(F.max("gutter").alias("gutter"))
-    merged = regions.without_noise(merge.overlaps_merged(typed, p), p)
-    assigned = regions.with_columns_assigned(merged.drop("col_no"), gutters)
     mode = "newlines" if preserve_lines else "paragraphs" if preserve_paragraphs else "default"
-    joined = regions.demoted_headers(merge.adjacent_merged(assigned, mode, merge_body, p))
-    if expected is not None:
-        joined = merge.template_blended(joined, expected, p)
-    # demoted headers and a template's boxes get the column they stand in
-    return regions.reading_order(regions.with_columns_assigned(joined.drop("col_no"), gutters))
+    return merge.laid_out(typed, gutters, expected, mode, merge_body, p)
 
 
 def recognise(found: DataFrame, recogniser: Callable[[DataFrame], DataFrame], newlines: bool = False, images: DataFrame | None = None) -> DataFrame:

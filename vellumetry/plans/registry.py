@@ -266,6 +266,18 @@ def template_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("volume_id", F.col("n_samples").cast("bigint").alias("n_samples"), F.coalesce(F.element_at("slots", "body"), F.lit(0)).cast("bigint").alias("body_slots"), F.coalesce(F.size("slots"), F.lit(0)).cast("bigint").alias("types"))
 
 
+def template_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots as they are after they were saved as documents and read again."""
+    rows = _confirmed(spark, sf_dir)
+    found, _ = template.from_documents(template.documents(template.slots(rows), template.samples(rows)))
+    return found.select("volume_id", "rtype", "k", "n", *(_six(c) for c in ("mean_x", "mean_y", "var_x", "confidence")))
+
+
+def volume_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compiled volumes in parts, as they are written."""
+    return compiling.volume_parts(_numbered(spark, sf_dir), F.lit(_MADE).cast("timestamp")).select("volume_id", "pos", "part")
+
+
 def template_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's regions with its volume's template put in."""
     pages = table(spark, sf_dir, "scan_pages").select("page_id", "spread_id").join(_spreads(spark, sf_dir).select("spread_id", "volume_id"), "spread_id")
@@ -315,14 +327,20 @@ def page_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiling.pages(rows).withColumn("char_count", F.length("text").cast("bigint"))
 
 
-def volume_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = _placed(spark, sf_dir)
-    compiled = compiling.pages(placed, ("page_id",))
+#: Fixed, so that the same input gives the same text.
+_MADE = "2024-01-01 00:00:00"
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compiled pages of each volume, numbered from 0; a volume's pages are numbered without their text."""
+    compiled = compiling.pages(_placed(spark, sf_dir), ("page_id",))
     order = Window.partitionBy("volume_id").orderBy("spread_pos", "side", "page_id")
     pages = table(spark, sf_dir, "scan_pages").select("page_id", "spread_id", "side").join(_spreads(spark, sf_dir).select("spread_id", "volume_id", F.col("pos").alias("spread_pos")), "spread_id")
-    numbered = pages.withColumn("pos", F.row_number().over(order) - 1).join(compiled, "page_id", "left").withColumn("label", F.lit(None).cast("string"))
-    made = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    return compiling.volumes(numbered, made).select("volume_id", "text", F.col("n_pages").cast("bigint").alias("n_pages"), "char_count")
+    return pages.withColumn("pos", F.row_number().over(order) - 1).join(compiled, "page_id", "left").withColumn("label", F.lit(None).cast("string"))
+
+
+def volume_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compiling.volumes(_numbered(spark, sf_dir), F.lit(_MADE).cast("timestamp")).select("volume_id", "text", F.col("n_pages").cast("bigint").alias("n_pages"), "char_count")
 
 
 def volume_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,7 +511,7 @@ QUERIES = {
         page_compile, split_route, media_types, spine_detect, safe_names, project_latest, layout_classify, geometry_filter, sharpness_filter, iou_pairs, iou_best, noise_filter,
         demote_headers, column_assign, reading_order, body_union, adjacent_islands, overlap_merge, adjacent_merge, detect_layout, template_slots, template_samples, template_predict,
         template_summary, template_blend, crop_boxes, recogniser_options, word_count, words_rebuilt, volume_compile, volume_export, result_latest, unprocessed, orphans, shown_regions,
-        spread_renumber, confidence_bands, region_counts, ocr_panel, compiled_panel, centre_warning, adjacent_paragraphs, adjacent_lines, lines_rebuilt, volume_files, regions_retyped,
+        spread_renumber, confidence_bands, region_counts, ocr_panel, compiled_panel, centre_warning, adjacent_paragraphs, adjacent_lines, lines_rebuilt, volume_files, regions_retyped, template_restored, volume_pages,
         regions_moved, regions_drawn, regions_kept, results_kept, results_retexted, pages_redetected, spreads_reordered, results_upserted, region_list, page_order, p3_found,
         *(_p3_table(name) for name in ("volumes", "spreads", "pages", "segments", "ocrResults")),
     )
@@ -566,6 +584,10 @@ SQL: dict[str, str] = {
     "volume_compile": f"""with {_PLACED_SQL}, c as ({_COMPILED.replace('TABLE_', 'placed')}), pg as (select p.page_id, s.volume_id, row_number() over (partition by s.volume_id order by s.pos, p.side, p.page_id) pos from scan_pages p join spr s on p.spread_id=s.spread_id),
  v as (select volume_id, string_agg('[Page '||pos||']'||chr(10)||case when text is null then '' else chr(10)||text end||chr(10)||chr(10)||repeat('─',60)||chr(10), chr(10) order by pos) body, count(*) n_pages from pg left join c on pg.page_id=c.page_id group by volume_id)
  select volume_id, 'Compiled Output'||chr(10)||'Generated: 2024-01-01 00:00'||chr(10)||'Pages: '||n_pages||chr(10)||repeat('═',60)||chr(10)||chr(10)||body text, n_pages, length('Compiled Output'||chr(10)||'Generated: 2024-01-01 00:00'||chr(10)||'Pages: '||n_pages||chr(10)||repeat('═',60)||chr(10)||chr(10)||body) char_count from v""",
+    "template_restored": f"with {_CONFIRMED_SQL} select volume_id, rtype, k, n, round(mean_x+1e-10,6) mean_x, round(mean_y+1e-10,6) mean_y, round(var_x+1e-10,6) var_x, round(confidence+1e-10,6) confidence from slc",
+    "volume_pages": f"""with {_PLACED_SQL}, c as ({_COMPILED.replace('TABLE_', 'placed')}), pg as (select p.page_id, s.volume_id, row_number() over (partition by s.volume_id order by s.pos, p.side, p.page_id) pos from scan_pages p join spr s on p.spread_id=s.spread_id)
+ select volume_id, cast(pos-1 as bigint) pos, chr(10)||'[Page '||pos||']'||chr(10)||case when text is null then '' else chr(10)||text end||chr(10)||chr(10)||repeat('─',60)||chr(10) part from pg left join c on pg.page_id=c.page_id
+ union all select volume_id, -1, 'Compiled Output'||chr(10)||'Generated: 2024-01-01 00:00'||chr(10)||'Pages: '||count(*)||chr(10)||repeat('═',60)||chr(10) from pg group by volume_id""",
     "volume_export": f"with {_PLACED_SQL} select volume_id, string_agg({_STRIP}, chr(10)||chr(10) order by pos, side, case rtype when 'header' then 0 when 'body' then 1 else 2 end, coalesce(y,0.0), region_id) text from placed where rtype in ('header','body','footnote') and text is not null and {_STRIP}<>'' and (side='left' or right_path is not null) group by volume_id",
     "result_latest": f"with {_LATEST_SQL} select region_id, result_id, text from res",
     "unprocessed": f"with {_SPREADS_SQL} select spread_id, volume_id from spr s where not exists (select 1 from spr d where d.detection_run and d.spread_id=s.spread_id)",

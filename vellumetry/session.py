@@ -54,9 +54,12 @@ def drop_stored(spark: SparkSession) -> None:
 def stored(df: DataFrame, what: str, schema: StructType | None = None) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it back, by df's schema or another that fits.
 
-    Survives the loss of executors, unlike a local checkpoint or a cache.
+    Survives the loss of executors, unlike a local checkpoint or a cache. The tables of an application
+    go when it ends, or with drop_stored().
     """
     spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     path = f"{_tables_dir(spark)}/{what}-{uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)

@@ -69,11 +69,24 @@ def save_templates(slots: DataFrame, path: str) -> None:
     slots.write.mode("overwrite").partitionBy("volume_id").parquet(path)
 
 
-def load_templates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_templates(spark: SparkSession, path: str, volume_id: str | None = None) -> DataFrame:
+    """The saved slots of all volumes, or of one, of which only its own folder is read; a volume that isn't there has none."""
+    rows = spark.read.parquet(path).withColumn("volume_id", F.col("volume_id").cast("string"))
+    return rows if volume_id is None else rows.where(F.col("volume_id") == volume_id)
 
 
 def write_texts(texts: DataFrame, path: str, by: str) -> DataFrame:
     """Writes (by, text) as text files, a folder for each key, and gives (by, char_count)."""
     texts.select(by, F.col("text").alias("value")).write.partitionBy(by).mode("overwrite").text(path)
     return texts.select(by, F.length("text").cast("bigint").alias("char_count"))
+
+
+def write_parts(parts: DataFrame, path: str, by: str) -> DataFrame:
+    """Writes (by, pos, part) as text files, in a folder for each key, in order of pos within and across its files; gives (by, char_count).
+
+    Rows are ranged by key and place, so a long volume is written by several tasks, each a stretch of it.
+    """
+    ranged = parts.repartitionByRange(by, "pos").sortWithinPartitions(by, "pos")
+    # a part ends with a line end, and so does a row of a text file
+    ranged.select(by, F.regexp_replace("part", r"\n$", "").alias("value")).write.partitionBy(by).mode("overwrite").text(path)
+    return parts.groupBy(by).agg(F.sum(F.length("part")).cast("bigint").alias("char_count"))
