@@ -500,7 +500,7 @@ def _p3_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = stored(nodes(table(spark, sf_dir, "project_files")).select("record", "label", "path", "key"), "p3-labels")
+    labelled = stored(nodes(table(spark, sf_dir, "project_files"), fields=False), "p3-labels")
     found = children_with_parents(labelled)
     return found.withColumn("record_id", found.record_id.cast("bigint"))
 
