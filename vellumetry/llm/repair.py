@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumetry.llm.canonical import canonical
+from vellumetry.llm.canonical import tidied
 from vellumetry.session import stored
 
 # Strings that are misread for each other, as printed -> as misread.
@@ -203,13 +203,13 @@ _SOFT_AT_END = re.compile("\u00ad(?=\\s|$)")
 
 
 class Text:
-    """A text's lines, canonical, with the marks of layout found; words broken in two are joined."""
+    """A text's lines, tidied, with the marks of layout found; words broken in two are joined."""
 
     def __init__(self, text: str, title: str | None):
-        if "\u00ad" in text:  # soft hyphens that end a line are layout; canonical() would drop them
+        if "\u00ad" in text:  # soft hyphens that end a line are layout; tidied() would drop them
             text = _SOFT_AT_END.sub("¬", text)
-        self.lines = canonical(text).split("\n")
-        self.furniture = furniture(self.lines, canonical(title) if title else None)
+        self.lines = tidied(text).split("\n")
+        self.furniture = furniture(self.lines, tidied(title) if title else None)
         self.broken = broken_words(self.lines, self.furniture)
         self._tokens: list[list[tuple[str, int, str, bool]] | None] = [None] * len(self.lines)
 
@@ -218,27 +218,50 @@ class Text:
             self._tokens[n] = list(token_words(self.lines[n]))
         return self._tokens[n]
 
-    def words(self) -> Iterator[tuple[str, bool, int, int, int]]:
+    def words(self) -> list[tuple[str, bool, int, int, int]]:
         """(form counted under, without a capital, line, line of its second part, length of its first part) of all words, each broken one once."""
+        out: list[tuple[str, bool, int, int, int]] = []
         parts = {(n, at): (a, b, k) for n, at, a, b, k in self.broken}
         taken = Counter((k, b) for _, _, _, b, k in self.broken)
-        for n in range(len(self.lines)):
-            if self.furniture[n]:
+        lines = {n for n, _ in parts} | {k for k, _ in taken}
+        for n, skip in enumerate(self.furniture):
+            if skip:
+                continue
+            if n not in lines:
+                out += [(low, small, n, n, len(low)) for _, _, low, small in self.tokens(n)]
                 continue
             for word, at, low, small in self.tokens(n):
-                if parts and (n, at) in parts:
+                if (n, at) in parts:
                     a, b, k = parts[n, at]
-                    yield plain_word(a + b), small, n, k, len(a)
-                elif taken and taken.get((n, word)):
+                    out.append((plain_word(a + b), small, n, k, len(a)))
+                elif taken.get((n, word)):
                     taken[n, word] -= 1
                 else:
-                    yield low, small, n, n, len(low)
+                    out.append((low, small, n, n, len(low)))
+        return out
+
+    def forms(self) -> list[tuple[str, bool]]:
+        """(form counted under, without a capital) of all words; places aren't needed, so lines without a broken word are taken chunk by chunk."""
+        if self.broken:
+            return [(low, small) for low, small, *_ in self.words()]
+        out: list[tuple[str, bool]] = []
+        for skip, line in zip(self.furniture, self.lines, strict=True):
+            if skip:
+                continue
+            if not line.isascii() and _SPACELESS.search(line):
+                out += [(low, small) for _, _, low, small in token_words(line)]
+                continue
+            for chunk in _TOKEN.findall(line):
+                got = _chunks.get(chunk)
+                for _, _, low, small in got if got is not None else _words_in(chunk):
+                    out.append((low, small))
+        return out
 
     def gaps(self, known: frozenset[str]) -> list[tuple[int, int, str, str]]:
         """(line, line of the second part, first part, second part) of neighbours that may be one word whose hyphen is lost: not both known, within a line neither."""
         out = []
         firsts, seconds = {(n, at) for n, at, *_ in self.broken}, {(k, b) for *_, b, k in self.broken}
-        last: tuple[int, int, int, str] | None = None  # line, place, end and form of the word before
+        last: tuple[int, int, int, str, bool] | None = None  # line, place, end and form of the word before, and whether it is unknown
         for n, line in enumerate(self.lines):
             if self.furniture[n]:
                 continue
@@ -247,15 +270,13 @@ class Text:
                 continue
             lead = len(line) - len(line.lstrip())
             for word, at, low, small in self.tokens(n):
-                if not _LETTERS.fullmatch(word):
-                    last = None
-                    continue
-                if last is not None and small and (n, word) not in seconds and (last[0], last[1]) not in firsts:
-                    pn, _, end, first = last
-                    unknown = (first not in known) + (low not in known)
-                    if unknown and pn < n and at == lead and end == len(self.lines[pn].rstrip()) or unknown == 2 and pn == n and line[end:at] == " ":
+                new = low not in known
+                if last is not None and small and (new or last[4]) and _LETTERS.fullmatch(word) and _LETTERS.fullmatch(last[3]):
+                    pn, place, end, first, _ = last
+                    adjacent = at == lead and end == len(self.lines[pn].rstrip()) if pn < n else new and last[4] and line[end:at] == " "
+                    if adjacent and (n, word) not in seconds and (pn, place) not in firsts:
                         out.append((pn, n, first, low))
-                last = (n, at, at + len(word), low)
+                last = (n, at, at + len(word), low, new)
         return out
 
     def reflowed(self, right: dict[str, str], compounds: set[str], parts: list[tuple[str, str]] = []) -> str:
@@ -312,33 +333,27 @@ def word_counts(texts: DataFrame, text_col: str, confirmed_col: str, title_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
+        right: Counter[tuple[str, bool]] = Counter()
+        raw: Counter[tuple[str, bool]] = Counter()
+        pairs: Counter[tuple[str, str]] = Counter()
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*counts.values(), strict=True)) or [(), (), ()]
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["word", "n_right", "n_raw", "n_lower"])
-            counts.clear()
-            return out
+            words = [w for w, _ in right] + [w for w, _ in raw] + [f"{a} {b}" for a, b in pairs]
+            n_right = [*right.values(), *[0] * len(raw), *pairs.values()]
+            n_raw = [*[0] * len(right), *raw.values(), *[0] * len(pairs)]
+            n_lower = [*(n if small else 0 for (_, small), n in right.items()), *[0] * (len(raw) + len(pairs))]
+            for c in (right, raw, pairs):
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array(c, pa.int64()) for c in (n_right, n_raw, n_lower))], names=["word", "n_right", "n_raw", "n_lower"])
 
         for batch in batches:
-            for text, right, title in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                before = ""
-                for low, small, *_ in Text(text, title).words():
-                    c = counts.get(low)
-                    if c is None:
-                        c = counts[low] = [0, 0, 0]
-                    c[0 if right else 1] += 1
-                    if right:
-                        if small:
-                            c[2] += 1
-                        if before:
-                            pair = f"{before} {low}"
-                            c = counts.get(pair)
-                            if c is None:
-                                c = counts[pair] = [0, 0, 0]
-                            c[0] += 1
-                        before = low
-            if len(counts) > FLUSH:
+            for text, is_right, title in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                found = Text(text, title).forms()
+                (right if is_right else raw).update(found)
+                if is_right:
+                    forms = [w for w, _ in found]
+                    pairs.update(zip(forms, forms[1:], strict=False))
+            if len(right) + len(raw) + len(pairs) > FLUSH:
                 yield flush()
         yield flush()
 
@@ -423,9 +438,8 @@ def candidates(word: str, trie: Trie) -> list[str]:
 
 def vocabulary(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ordinary words: word, n_right; words to look up: word, n_raw)."""
-    words = counts.where(~F.col("word").contains(" "))
     script = F.when(F.col("word").rlike("[ऀ-ॿ]"), "deva").when(F.col("word").rlike("[ঀ-৿]"), "beng").when(F.col("word").rlike("^[一-鿿々ァ-ヺー\u0e00-\u0e7f]"), "none").otherwise("latin")
-    right = words.where("n_right > 0").select(script.alias("s"), F.when(script.isin("deva", "beng"), F.substring("word", -2, 2)).alias("e"), "n_right")
+    right = counts.where("n_right > 0").select(script.alias("s"), F.when(script.isin("deva", "beng"), F.substring("word", -2, 2)).alias("e"), "n_right")
     # a row for each script and ending that very many words share
     endings = right.groupBy("s", "e").agg(F.count("*").alias("d"), F.sum("n_right").alias("n"))
     sums = {r["s"]: (r["d"], r["n"]) for r in endings.groupBy("s").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).collect()}
@@ -438,8 +452,8 @@ def vocabulary(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     latin = F.when(F.col("n_lower") * 2 >= F.col("n_right"), at_least(ORDINARY, "latin")).otherwise(at_least(ORDINARY_CAPITAL, "latin"))
     least = F.when(script == "deva", indic("deva")).when(script == "beng", indic("beng")).when(script == "none", F.lit(float(LEAST_UNSPACED))).otherwise(latin)
     well_formed = ~F.col("word").rlike(r"[^\p{L}\p{M}'’\-ー]")
-    ordinary = words.where((F.col("n_right") >= least) & well_formed).select("word", "n_right")
-    unknown = words.where((F.col("n_right") == 0) & (F.col("n_raw") > 0)).select("word", "n_raw")
+    ordinary = counts.where((F.col("n_right") >= least) & well_formed).select("word", "n_right")
+    unknown = counts.where((F.col("n_right") == 0) & (F.col("n_raw") > 0)).select("word", "n_raw")
     return ordinary, unknown
 
 
@@ -521,16 +535,20 @@ class _Found:
     """What damage() and repaired() share: counts of words, corrections, and the marks of each text, all stored."""
 
     def __init__(self, texts: DataFrame, id_col: str, text_col: str, confirmed_col: str, title_col: str, sure_col: str):
+        sure = F.col(sure_col).cast("double") if sure_col in texts.columns else F.lit(None).cast("double")
+        unsure = F.coalesce(F.when(sure > 1, sure / 100).otherwise(sure) < SURE, F.lit(True))
+        # read twice: the joins that brought pages and titles to the texts run once
+        texts = stored(texts.where(F.col(text_col).isNotNull()).select(id_col, text_col, F.coalesce(confirmed_col, F.lit(False)).alias(confirmed_col), title_col, unsure.alias("_unsure")), "p5-texts")
         counts = stored(word_counts(texts, text_col, confirmed_col, title_col), "p5-counts")
+        pair = F.col("word").contains(" ")
+        pairs, counts = counts.where(pair), counts.where(~pair)
         ordinary, unknown = vocabulary(counts)
         ordinary, unknown = stored(ordinary, "p5-ordinary"), stored(unknown, "p5-unknown")
         fixes = stored(corrections(ordinary, unknown), "p5-fixes")
-        # a bounded set of the commonest words; it only saves looking them up
-        top = [r["word"] for r in ordinary.orderBy(F.desc("n_right"), "word").limit(KNOWN).collect()]
+        # a bounded set of the commonest words of corrected pages; it only saves looking them up, as no fix or gap needs them
+        top = [r["word"] for r in counts.where("n_right > 0").orderBy(F.desc(F.col("n_right") + F.col("n_raw")), "word").limit(KNOWN).collect()]
         shared = texts.sparkSession.sparkContext.broadcast(frozenset(top))
         kind = dict(texts.dtypes)[id_col]
-        sure = F.col(sure_col).cast("double") if sure_col in texts.columns else F.lit(None).cast("double")
-        unsure = F.coalesce(F.when(sure > 1, sure / 100).otherwise(sure) < SURE, F.lit(True))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = shared.value
@@ -542,7 +560,7 @@ class _Found:
                     found = [(n, -1, 0, "furniture", None, None, None) for n, is_furniture in enumerate(t.furniture) if is_furniture]
                     found += [(n, n, 0, "hyphen", plain_word(a + b), plain_word(f"{a}-{b}"), None) for n, _, a, b, _ in t.broken]
                     found += [(n, k, 0, "gap", a + b, a, b) for n, k, a, b in t.gaps(known)]
-                    listed = list(t.words())
+                    listed = t.words()
                     for i, (low, _, n, k, cut) in enumerate(listed):
                         if low not in known:
                             found.append((n, k, cut, "misread", low, listed[i - 1][0] if i else None, listed[i + 1][0] if i + 1 < len(listed) else None))
@@ -557,7 +575,7 @@ class _Found:
                 )
 
         self.id = id_col
-        self.raw = texts.where(F.col(text_col).isNotNull() & ~F.coalesce(F.col(confirmed_col), F.lit(False))).select(id_col, text_col, title_col, unsure.alias("_unsure"))
+        self.raw = texts.where(~F.col(confirmed_col)).select(id_col, text_col, title_col, "_unsure")
         marks = self.raw.mapInArrow(run, f"`{id_col}` {kind}, line_no bigint, next_no bigint, cut bigint, kind string, word string, before string, after string, unsure boolean")
         self.marks = stored(marks, "p5-marks")
         # a compound keeps its hyphen where it is in use with it, and not less than without
@@ -567,7 +585,7 @@ class _Found:
         kept = (F.coalesce("n_compound", F.lit(0)) > 0) & (F.coalesce("n_joined", F.lit(0)) <= F.coalesce("n_compound", F.lit(0)))
         self.breaks = self.marks.where("kind = 'hyphen'").join(used, "before", "left").join(joined, "word", "left").withColumn("is_compound", kept)
         self.gaps = stored(self._gaps(counts), "p5-gaps")
-        self.misread = stored(self._misread(counts, fixes), "p5-misread")
+        self.misread = stored(self._misread(pairs, fixes), "p5-misread")
 
     def _gaps(self, counts: DataFrame) -> DataFrame:
         """Words whose hyphen is lost: the whole is a word of corrected pages, or, of names, one in use; a part is no word there, of names and within a line both."""
@@ -580,7 +598,7 @@ class _Found:
         apart = F.when(F.col("line_no") == F.col("next_no"), 2).when(plain, 1).otherwise(2)
         return found.where((parts >= apart) & (plain | (F.col("n_all") > 0))).select(self.id, "line_no", "next_no", "word", "before", "after")
 
-    def _misread(self, counts: DataFrame, fixes: DataFrame) -> DataFrame:
+    def _misread(self, pairs: DataFrame, fixes: DataFrame) -> DataFrame:
         """(id, line_no, word, right): each misread word with the word it stands for, the same throughout a text."""
         parts = self.gaps.select(self.id, F.col("line_no"), F.col("before").alias("word")).unionByName(self.gaps.select(self.id, F.col("next_no").alias("line_no"), F.col("after").alias("word")))
         seen = self.marks.where("kind = 'misread'").join(fixes, "word").where(F.col("n") >= F.when(F.col("unsure"), RARER_UNSURE).otherwise(RARER) * F.col("n_raw"))
@@ -593,7 +611,7 @@ class _Found:
         several = fixes.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").select("word")
         clear = seen.join(several, "word", "left_anti").select(self.id, "line_no", "word", "right")
         unclear = seen.join(several, "word", "left_semi")
-        near = lambda name: counts.where(F.col("word").contains(" ")).select(F.col("word").alias(f"_{name}"), F.col("n_right").alias(name))
+        near = lambda name: pairs.select(F.col("word").alias(f"_{name}"), F.col("n_right").alias(name))
         met = unclear.withColumn("_l", F.concat_ws(" ", "before", "right")).withColumn("_r", F.concat_ws(" ", "right", "after")).join(near("l"), "_l", "left").join(near("r"), "_r", "left")
         seen_near = F.log1p(F.coalesce("l", F.lit(0))) + F.log1p(F.coalesce("r", F.lit(0)))
         by_text = met.groupBy(self.id, "word", "right", "edit").agg(F.max("n").alias("n"), F.sum(seen_near).alias("near"))
