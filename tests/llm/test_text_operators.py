@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vellumetry.llm import bpe, canonical, language, leaks, repair, repeated_lines, sentences, subjects
 
 TOKENIZERS = bpe.TOKENIZERS
+DATA = "/root/testdata/sf0.01"
 
 
 def texts(spark, rows, id_col="result_id"):
@@ -503,3 +504,20 @@ def test_statistics_of_terms(spark):
 def test_headings_are_no_sentences():
     assert subjects.running_sentences("THE MODEST JOURNAL\n\nIt came. It went.") == ["It came.", "It went."]
     assert subjects.running_sentences("") == []
+
+
+# ------------------------------------------------------------------ queries
+
+
+@pytest.mark.parametrize("name", ["p2_found", "p6_found", "p8_found"])
+def test_same_rows_as_sql(spark, name):
+    import duckdb
+
+    from vellumetry.llm import queries
+
+    con = duckdb.connect()
+    for table in ("ocr_results", "ocr_regions", "scan_volumes", "documents", "eval_items"):
+        con.execute(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
+    cursor = con.execute(queries.SQL[name])
+    columns = [d[0] for d in cursor.description]
+    assert sorted(tuple(r) for r in queries.QUERIES[name](spark, DATA).select(columns).collect()) == sorted(cursor.fetchall())

@@ -259,7 +259,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "ocr_lan
         return fit([], [])
     rate = F.create_map(*(F.lit(x) for code, n in counts.items() for x in (code, min(1_000_000, int(1_000_000 * per_language / n) + 1))))
     sample = rows.where(F.pmod("h", F.lit(1_000_000)) < F.element_at(rate, F.col("l"))).select("t", "l", "h")
-    got = sorted((r["h"], r["t"], r["l"]) for r in sample.limit(2 * per_language * len(LANGUAGES)).collect())
+    got = sorted((r["h"], r["t"], r["l"]) for r in sample.orderBy("h", "l").limit(2 * per_language * len(LANGUAGES)).collect())
     texts, labels = [], []
     for _, text, label in got:
         text = canonical(text)

@@ -9,6 +9,7 @@ from vellumetry.llm.bpe import encode
 from vellumetry.llm.canonical import same_look_pairs
 from vellumetry.llm.language import identify, labels_of, train
 from vellumetry.llm.leaks import leaks
+from vellumetry.llm.oracles import SQL as SQL
 from vellumetry.llm.repeated_lines import repeated_lines, repeated_sequences, without_lines
 from vellumetry.llm.repair import damage, repaired, titles
 from vellumetry.llm.sentences import split_sentences
@@ -87,4 +88,3 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sequences": p2_sequences, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_covered": p8_covered, "p9_found": p9_found}
-SQL: dict[str, str] = {}

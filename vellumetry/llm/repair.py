@@ -400,14 +400,12 @@ class Trie:
             node = node.get(w[i])
             if node is None:
                 break
-        for printed, read in CONFUSED:
-            at = w.find(read)
-            while at >= 0:
-                v = w[:at] + printed + w[at + len(read) :]
-                if v in self.words:
-                    out.add(v)
-                at = w.find(read, at + 1)
-        for printed, read in CONTRACTED:
+        return out | self.confused(w)
+
+    def confused(self, w: str) -> set[str]:
+        """Words that w stands for if letters in it were read for others that print alike."""
+        out = set()
+        for printed, read in (*CONFUSED, *CONTRACTED):
             at = w.find(read)
             while at >= 0:
                 v = w[:at] + printed + w[at + len(read) :]
@@ -425,15 +423,16 @@ _SYMBOL = re.compile(r"[^\W\d_][^\w\s'’.\-]+|^[^\w\s'’.\-]+[^\W\d_]|\d")
 
 
 def candidates(word: str, trie: Trie) -> list[str]:
-    """Words that word may be a misreading of. Short words only count if a sign or digit stands in them."""
+    """Words that word may be a misreading of. Words of three letters count if letters that print alike do, shorter ones if a sign or digit stands in them."""
     if _SPACELESS.match(word):
         return sorted(trie.alike(word))
     letters = sum(map(str.isalpha, word))
     odd = bool(_SYMBOL.search(word))
-    if "." in word or letters < (1 if odd else 4) or letters * 2 < len(re.sub(r"[ऀ-৿]", "", word)):
+    if "." in word or letters < (1 if odd else 3) or letters * 2 < len(re.sub(r"[ऀ-৿]", "", word)):
         return []
     plain = word.replace("-", "")  # a hyphen lost or kept is no misreading
-    return [c for c in trie.near(word) if c.replace("-", "") != plain and (len(c) >= 4 or odd and len(c) >= 2)]
+    found = trie.near(word) if odd or letters > 3 else trie.confused(word)
+    return [c for c in found if c.replace("-", "") != plain and (len(c) >= 4 or odd and len(c) >= 2)]
 
 
 def vocabulary(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
