@@ -65,16 +65,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h * np.uint64(0x81DADEF4BC2DD44D)
 
 
-def seeds(tokens: np.ndarray, min_words: int = MIN_WORDS, seed: int = SEED) -> np.ndarray:
-    """The kept seeds: the least hash of each window of min_words - seed + 1 seeds (winnowing)."""
-    n = len(tokens) - seed + 1
-    width = min_words - seed + 1
-    if n < width:
-        return np.empty(0, np.int64)
+def _hashes(tokens: np.ndarray, seed: int) -> np.ndarray:
+    """The hash of the seed at each place."""
+    n = max(len(tokens) - seed + 1, 0)
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(seed):
+        for k in range(seed if n else 0):
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n])
+    return h
+
+
+def seeds(tokens: np.ndarray, min_words: int = MIN_WORDS, seed: int = SEED) -> np.ndarray:
+    """The kept seeds: the least hash of each window of min_words - seed + 1 seeds (winnowing)."""
+    h, width = _hashes(tokens, seed), min_words - seed + 1
+    if len(h) < width:
+        return np.empty(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(h, width)
     return np.unique(windows.min(axis=1)).view(np.int64)
 
@@ -155,6 +160,24 @@ def _seed_rows(texts: DataFrame, id_col: str, text_col: str, min_words: int, nam
     return spread(picked).mapInArrow(run, f"{name} {kind}, seed bigint")
 
 
+def _place_rows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_i, seed, places, size): every seed of each item with the places it stands at, and the item's words."""
+    kind = dict(items.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for r, text in enumerate(batch.column(1).to_pylist()):
+                tokens = words(text)
+                found, times = np.unique(_hashes(numbers(tokens), SEED), return_counts=True)
+                rows += [(r, s, n, len(tokens)) for s, n in zip(found.view(np.int64).tolist(), times.tolist(), strict=True)]
+            r, *columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names=["_i", "seed", "places", "size"])
+
+    picked = items.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col)).distinct()
+    return picked.mapInArrow(run, f"_i {kind}, seed bigint, places bigint, size bigint")
+
+
 def leaks(
     corpus: DataFrame,
     items: DataFrame,
@@ -172,13 +195,12 @@ def leaks(
     seeds and the join of candidates with their texts spread by seed and by document, so neither a hot
     item nor a hot document is gathered in one task; texts without a shared seed aren't shuffled twice.
     """
-    shared = min_words if min_covered is None else MIN_TILE
-    pairs = (
-        _seed_rows(corpus, doc_id, text_col, shared, "_d")
-        .join(_seed_rows(items, item_id, text_col, shared, "_i"), "seed")
-        .select("_d", "_i")
-        .distinct()
-    )
+    if min_covered is None:
+        pairs = _seed_rows(corpus, doc_id, text_col, min_words, "_d").join(_seed_rows(items, item_id, text_col, min_words, "_i"), "seed").select("_d", "_i").distinct()
+    else:
+        # a tile of n words holds n - SEED + 1 seeds, a MIN_TILE-th of its words at least; what shares fewer than the cover takes can't reach it
+        met = _seed_rows(corpus, doc_id, text_col, MIN_TILE, "_d").distinct().join(_place_rows(items, item_id, text_col), "seed").groupBy("_d", "_i").agg(F.sum("places").alias("n"), F.max("size").alias("size"))
+        pairs = met.where((F.col("n") >= F.ceil(F.col("size") * min_covered / MIN_TILE)) | (F.col("n") >= min_words - SEED + 1)).select("_d", "_i")
     texts = corpus.select(F.col(doc_id).alias("_d"), F.col(text_col).alias("_dt")).where("_dt is not null")
     passages = items.select(F.col(item_id).alias("_i"), F.col(text_col).alias("_it")).where("_it is not null")
     both = texts.join(pairs.join(passages, "_i"), "_d").select("_d", "_i", "_dt", "_it")
