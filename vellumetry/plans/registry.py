@@ -527,6 +527,7 @@ _N_WORDS = r"coalesce(len(list_filter(regexp_split_to_array(text,'[\x09-\x0d\x1c
 
 SQL: dict[str, str] = {
     "p3_found": nested_sql.found(),
+    **{f"p3_{name.lower()}": nested_sql.flat(name) for name in ("volumes", "spreads", "pages", "segments", "ocrResults")},
     "split_route": f"with {_SPREADS_SQL} select spread_id, case when image_h>0 then image_w/image_h<1.1 end is_single, case when image_h>0 and image_w/image_h<1.1 then image_w else spine_x end spine_x, case when image_h>0 and image_w/image_h<1.1 then null else right_path end right_path from spr",
     "media_types": rf"with {_SPREADS_SQL}, s as (select spread_id, regexp_extract(original_path,'([^/\\]*)$',1) file_name, lower(regexp_extract(original_path,'\.([A-Za-z0-9]+)$',1)) suffix from spr) select *, case when file_name is null then null when suffix='png' then 'image/png' when suffix in ('tif','tiff') then 'image/tiff' else 'image/jpeg' end media_type, coalesce(suffix in ('jpg','jpeg','png','tif','tiff'),false) accepted from s",
     "spine_detect": """with px as (select vec_id, pos as x, 1.0 + 4.0*cast(v as double) as b from (select vec_id, cast(unnest(range(64)) as int) as pos, unnest(embedding) v from embeddings)),
