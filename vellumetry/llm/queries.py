@@ -48,10 +48,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages_with_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body results with whether their page is confirmed and their volume's titles. Keys are joined first, so texts are shuffled once."""
     pages = table(spark, sf_dir, "scan_pages").select("page_id", "confirmed")
     heads = titles(table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "ocr_regions"), table(spark, sf_dir, "scan_volumes"))
-    texts = body_results(spark, sf_dir, "text", "page_id", "volume_id", "confidence")
-    return texts.join(pages.hint("shuffle_hash"), "page_id").join(heads.hint("shuffle_hash"), "volume_id", "left")
+    keys = body_results(spark, sf_dir, "page_id", "volume_id").join(pages.hint("shuffle_hash"), "page_id").join(heads.hint("shuffle_hash"), "volume_id", "left")
+    texts = table(spark, sf_dir, "ocr_results").select("result_id", "text", "confidence")
+    return texts.join(keys.select("result_id", "confirmed", "title").hint("shuffle_hash"), "result_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
