@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def local_session(app: str = "vellumetry", cpus: str = "8", partitions: int = 8) -> SparkSession:
-    """A session for tests and the benchmark; clusters bring their own."""
+def local_session(app: str = "vellumetry", cpus: str = "8", partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """A session for tests and the benchmark, with stored tables in shared; clusters bring their own."""
+    builder = SparkSession.builder if shared is None else SparkSession.builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.driver.memory", os.environ.get("VELLUMETRY_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -61,7 +62,7 @@ def stored(df: DataFrame, what: str, schema: StructType | None = None) -> DataFr
     folder = spark._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     path = f"{_tables_dir(spark)}/{what}-{uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
