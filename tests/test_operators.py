@@ -260,7 +260,7 @@ def test_slots_count_confidence_and_activity(spark):
 
 def test_templates_saved_and_read(spark, tmp_path):
     rng = random.Random(5)
-    rows = [(v, p, 1, "body", rng.random(), rng.random(), 0.5, 0.3) for v, n in (("v", 5), ("w", 1)) for p in range(n)] + [("u", 9, 1, "unknown", 0.1, 0.1, 0.1, 0.1)]
+    rows = [(v, 10 * n + p, 1, "body", rng.random(), rng.random(), 0.5, 0.3) for v, n in (("v", 5), ("w", 1)) for p in range(n)] + [("u", 9, 1, "unknown", 0.1, 0.1, 0.1, 0.1)]
     data = spark.createDataFrame(rows, "volume_id string, page_id bigint, slot bigint, rtype string, x double, y double, w double, h double")
     found, counted = template.slots(data), template.samples(data)
     saved = template.documents(found, counted)
