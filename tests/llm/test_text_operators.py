@@ -501,6 +501,14 @@ def test_statistics_of_terms(spark):
     assert got == {one: (2, 3), two: (1, 1), -1: (2, 2), -3: (1, 1)}
 
 
+def test_languages_told_by_script(model):
+    given = ["彼は古い家を見た。", "কিছু কথা", "ไม่เคยซื้อ", "यह एक पुराना मकान है।", "the man was with this", "12 34", "彼 the man was with this and had"]
+    got = subjects.sentence_languages(model, given)
+    assert [language.LANGUAGES[i] for i in got[:3]] == ["jpn", "ben", "tha"]
+    assert got[3:].tolist() == model.logits(given[3:])[0].argmax(axis=1).tolist()
+    assert subjects.sentence_languages(model, []).tolist() == []
+
+
 def test_headings_are_no_sentences():
     assert subjects.running_sentences("THE MODEST JOURNAL\n\nIt came. It went.") == ["It came.", "It went."]
     assert subjects.running_sentences("") == []

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumetry.llm.canonical import canonical
-from vellumetry.llm.language import Model
-from vellumetry.llm.sentences import sentences
+from vellumetry.llm.language import LANGUAGES, Model
+from vellumetry.llm.sentences import BENGALI, DEVANAGARI, JAPANESE, LATIN, THAI, sentences
 from vellumetry.session import spread, stored
 
 #: Least share of a document's sentences.
@@ -85,6 +85,26 @@ def running_sentences(text: str) -> list[str]:
     return out
 
 
+_SHARED_SCRIPT = re.compile(f"[{LATIN}{DEVANAGARI}]")
+_OWN_SCRIPT = re.compile(f"([{BENGALI}])|([{JAPANESE}])|([{THAI}])")
+_OWN_LANGUAGE = (0, *(LANGUAGES.index(x) for x in ("ben", "jpn", "tha")))
+
+
+def sentence_languages(model: Model, texts: list[str]) -> np.ndarray:
+    """The number of each sentence's language. One without letters of scripts that several languages share is told by its script."""
+    out = np.zeros(len(texts), np.int64)
+    asked = []
+    for i, t in enumerate(texts):
+        own = None if t.isascii() or _SHARED_SCRIPT.search(t) else _OWN_SCRIPT.search(t)
+        if own:
+            out[i] = _OWN_LANGUAGE[own.lastindex]
+        else:
+            asked.append(i)
+    if asked:
+        out[asked] = model.logits([texts[i] for i in asked])[0].argmax(axis=1)
+    return out
+
+
 _models: dict[str, Model] = {}
 
 
@@ -106,7 +126,7 @@ def term_rows(docs: DataFrame, model: Model, id_col: str, text_col: str) -> Data
         for batch in batches:
             cut = [running_sentences(canonical(t)) for t in batch.column(1).to_pylist()]
             flat = [s for c in cut for s in c]
-            langs = own_model.logits(flat)[0].argmax(axis=1).astype(np.int64) if flat else np.empty(0, np.int64)
+            langs = sentence_languages(own_model, flat)
             found = [sorted(sentence_terms(s)) for s in flat]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             terms = np.fromiter((t for f in found for t in f), np.int64, int(sizes.sum())) | np.repeat(langs << 32, sizes)
