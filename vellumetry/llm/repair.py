@@ -308,7 +308,7 @@ class Text:
             if not line.strip():
                 out.append("")
                 continue
-            for word, at, _, _ in sorted(token_words(line), key=lambda w: -w[1]):
+            for word, at, _, _ in sorted(token_words(line), key=lambda w: -w[1]) if right else ():
                 if (new := put_right(word)) != word:
                     line = line[:at] + new + line[at + len(word) :]
             line = re.sub(r"\s+", " ", line.strip())
